@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import packing, secret_scan, simhash, source_mix, url_reputation
+from . import ann, packing, phrase_fingerprint, secret_scan, simhash, source_mix, url_reputation
 from .common import table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -33,6 +33,11 @@ def op2_secret_scans(spark, sf_dir):
     )
 
 
+def op5_ann(spark, sf_dir):
+    found = ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 def op7_packing(spark, sf_dir):
     """With the public word tokenizer; its file's place is asked of its own package."""
     import public_tokenizers
@@ -46,6 +51,10 @@ def op8_simhash(spark, sf_dir):
     return groups.select(F.col("id").alias("doc_id"), simhash.fingerprint_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op9_phrase_fingerprints(spark, sf_dir):
+    return phrase_fingerprint.fingerprint_documents(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_source_mix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return source_mix.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -54,7 +63,9 @@ def op10_source_mix(spark, sf_dir):
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_secret_scans": op2_secret_scans,
+    "op5_ann": op5_ann,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
+    "op9_phrase_fingerprints": op9_phrase_fingerprints,
     "op10_source_mix": op10_source_mix,
 }
