@@ -33,11 +33,12 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Bounds of the index: rows of the fitting sample, centroids, neighbours in the graph.
-SAMPLE_ROWS, MOST_CENTROIDS, DEGREE = 65_536, 4_096, 24
+SAMPLE_ROWS, MOST_CENTROIDS, DEGREE = 65_536, 4_096, 16
 #: Entries a centroid stands for, replicas of a boundary vector and how near they must be.
-PER_CENTROID, REPLICAS, CLOSURE = 48, 6, 1.25
-#: Lists a query visits at most and the distance ratio that prunes them.
-PROBES, RATIO = 48, 1.6
+PER_CENTROID, REPLICAS, CLOSURE = 48, 8, 1.25
+#: Lists a query visits at most (the share of all, but no fewer than the number), and the
+#: distance ratio that prunes them.
+PROBES, PROBE_SHARE, RATIO = 64, 1 / 16, 1.6
 #: Rows of a part of a posting list that one call ranks.
 LIST_ROWS = 4_096
 
@@ -91,7 +92,8 @@ class CentroidGraph:
             k = min(degree + 1, n)
             near.append(np.argpartition(d, k - 1, axis=1)[:, :k])
         self.links = np.concatenate(near) if n else np.zeros((0, 0), int)
-        self.entries = np.arange(0, n, max(1, n // 64))
+        self.entries = np.arange(0, n, 4)
+        self.single = centres.astype(np.float32)
 
     def search(self, points: np.ndarray, k: int, width: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(places, distances) of about the k nearest centroids of each point, nearest first.
@@ -101,23 +103,23 @@ class CentroidGraph:
         """
         n, m = len(self.centres), len(points)
         k = min(k, n)
-        width = min(n, max(width or 0, k, 2 * DEGREE))
-        norms = (points**2).sum(1)
+        width = min(n, max(width or 0, k, DEGREE))
+        norms, single = (points**2).sum(1), points.astype(np.float32)
 
         def dist(places: np.ndarray) -> np.ndarray:
-            return np.maximum(norms[:, None] - 2 * np.einsum("md,mkd->mk", points, self.centres[places]) + self.norms[places], 0)
+            return np.maximum(norms[:, None] - 2 * np.matmul(self.single[places], single[:, :, None])[:, :, 0] + self.norms[places], 0)
 
         d0 = np.maximum(norms[:, None] - 2 * points @ self.centres[self.entries].T + self.norms[self.entries][None], 0)
-        first = min(8, len(self.entries))
-        beam = self.entries[np.argpartition(d0, first - 1, axis=1)[:, :first]]
-        for _ in range(24):
-            wide = np.concatenate([beam, self.links[beam[:, :8]].reshape(m, -1)], axis=1)
+        first = min(max(8, k // 4), len(self.entries))
+        beam, reach = self.entries[np.argpartition(d0, first - 1, axis=1)[:, :first]], max(8, k // 2)
+        for _ in range(6):
+            wide = np.concatenate([beam, self.links[beam[:, :reach]].reshape(m, -1)], axis=1)
             wide.sort(axis=1)
             d = dist(wide)
             d[:, 1:][wide[:, 1:] == wide[:, :-1]] = np.inf
             keep = np.argsort(d, axis=1, kind="stable")[:, :width]
             new, nd = np.take_along_axis(wide, keep, 1), np.take_along_axis(d, keep, 1)
-            if beam.shape == new.shape and (beam[:, :8] == new[:, :8]).all():
+            if beam.shape == new.shape and (beam[:, :reach] == new[:, :reach]).all():
                 beam = new
                 break
             beam = new
@@ -184,11 +186,13 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     queries = written(rows.where(is_query).select("id", "v"), "ann-queries")
     asked = queries.groupBy("v").agg(F.min("id").alias("qid"))
 
+    probes = max(PROBES, int(len(centres) * PROBE_SHARE))
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
-                places, dist = graph.value.search(_matrix(some.column("v")), PROBES)
+                places, dist = graph.value.search(_matrix(some.column("v")), probes)
                 keep = (places >= 0) & (dist <= RATIO * dist[:, :1] + 1e-9)
                 take, col = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(places[take, col].astype(np.int32)), *[some.column(c).take(pa.array(take)) for c in ("v", "qid")]], names=["list", "v", "qid"])
