@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, packing, phrase_fingerprint, secret_scan, simhash, source_mix, url_reputation
+from . import ann, packing, phrase_fingerprint, quality_classifier, secret_scan, simhash, source_mix, url_reputation
 from .common import table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -33,6 +33,13 @@ def op2_secret_scans(spark, sf_dir):
     )
 
 
+def op4_quality_classifier(spark, sf_dir):
+    """The documents that pass, with what they were judged by."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    judged = quality_classifier.classify(docs, labels, columns=["doc_id", "lang"])
+    return judged.where("keep").drop("keep")
+
+
 def op5_ann(spark, sf_dir):
     found = ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
     return found.withColumnRenamed("id", "vec_id")
@@ -63,6 +70,7 @@ def op10_source_mix(spark, sf_dir):
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_secret_scans": op2_secret_scans,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_ann": op5_ann,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
