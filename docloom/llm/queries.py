@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, packing, phrase_fingerprint, quality_classifier, secret_scan, simhash, source_mix, url_reputation
+from . import ann, maxent_lm, packing, phrase_fingerprint, quality_classifier, secret_scan, simhash, source_mix, url_reputation
 from .common import table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -45,6 +45,10 @@ def op5_ann(spark, sf_dir):
     return found.withColumnRenamed("id", "vec_id")
 
 
+def op6_maxent_lm(spark, sf_dir):
+    return maxent_lm.score_corpus(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op7_packing(spark, sf_dir):
     """With the public word tokenizer; its file's place is asked of its own package."""
     import public_tokenizers
@@ -72,6 +76,7 @@ QUERIES = {
     "op2_secret_scans": op2_secret_scans,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_ann": op5_ann,
+    "op6_maxent_lm": op6_maxent_lm,
     "op7_packing": op7_packing,
     "op8_simhash": op8_simhash,
     "op9_phrase_fingerprints": op9_phrase_fingerprints,
