@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import ann, maxent_lm, packing, phrase_fingerprint, quality_classifier, secret_scan, simhash, source_mix, url_reputation
+from . import ann, maxent_lm, packing, phrase_fingerprint, quality_classifier, secret_scan, simhash, source_mix, suffix_dedup, url_reputation
 from .common import table
 
 URL_RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
@@ -33,6 +33,11 @@ def op2_secret_scans(spark, sf_dir):
     )
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_quality_classifier(spark, sf_dir):
     """The documents that pass, with what they were judged by."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -74,6 +79,7 @@ def op10_source_mix(spark, sf_dir):
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_secret_scans": op2_secret_scans,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_ann": op5_ann,
     "op6_maxent_lm": op6_maxent_lm,
