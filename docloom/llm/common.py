@@ -54,3 +54,12 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """`df` with columns called like one of `names` renamed, and {new name: old name}."""
+    old = {}
+    for column in [c for c in df.columns if c.lower() in {n.lower() for n in names}]:
+        new = free_name(df, f"aside_{column}")
+        df, old[new] = df.withColumnRenamed(column, new), column
+    return df, old

@@ -121,13 +121,18 @@ def span_text(spans: Column, rules: tuple[Rule, ...] = RULES, only: int | None =
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
-def redacted(text: Column, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> Column:
-    """The text with the secret part of every match replaced by `mark`."""
-    out = text
-    for rule in rules:
-        if rule.group:  # what stands before the secret part stays
-            cut = rule.pattern.rindex("(")
-            out = F.regexp_replace(out, f"{rule.pattern[:cut].replace('(?i)', '(?i)(?<kept>', 1)}){rule.pattern[cut:-2]}{{{rule.least},}})", "${kept}" + mark)
-        else:
-            out = F.regexp_replace(out, rule.pattern, mark)
+def masked(found: DataFrame, text_col: str = "text", spans_col: str = "secret_spans", mark: str = "[secret]", count_col: str | None = None) -> DataFrame:
+    """`found` with `mark` in place of every run of overlapping or touching spans; texts
+    without spans stay as they are. `count_col`, if there is one, follows a changed text."""
+    spans, text = F.col(spans_col), F.col(text_col)
+    # What stands between the furthest end so far and the next start is kept.
+    before = lambda i: F.when(i > 0, F.array_max(F.transform(F.slice(spans, 1, i), lambda s: s["end"]))).otherwise(F.lit(0).cast("long"))
+    piece = lambda s, i: F.when(s["start"] > before(i), F.concat(F.substring(text, (before(i) + 1).cast("int"), (s["start"] - before(i)).cast("int")), F.lit(mark))).when(i == 0, F.lit(mark)).otherwise(F.lit(""))
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+    rest = F.substring(text, (last + 1).cast("int"), F.length(text))
+    hit = F.size(spans) > 0
+    new = F.when(hit, F.concat(F.array_join(F.transform(spans, piece), ""), rest)).otherwise(text)
+    out = found.withColumn(text_col, new)
+    if count_col in found.columns:
+        out = out.withColumn(count_col, F.when(hit, F.length(text_col).cast(found.schema[count_col].dataType)).otherwise(F.col(count_col)))
     return out

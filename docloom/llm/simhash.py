@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free_name, written
 from .components import component_roots
 
 SEED = 42
@@ -201,3 +201,13 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
     labels = written(rooted.join(named, "root").select("fp", "component"), "components")
     return fps.join(labels, "fp").select("id", "fp", "component")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of `docs` that stand for their groups: of each, one row of the smallest id."""
+    key, row = free_name(docs, "key"), free_name(docs, "row")
+    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
+    ids = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(key).alias("key"))
+    groups = simhash_groups(keyed.select(ids.alias(row), text_col), row, text_col, words, radius)
+    kept = groups.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id.key").alias(key)).distinct()
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
