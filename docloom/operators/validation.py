@@ -61,11 +61,11 @@ def _checks(col: Column, kind: T.DataType, schema: dict[str, Any], path: list[st
             if name in schema:
                 out.append((name, at, f"{name} is {schema[name]}", ok & worse))
         if isinstance(schema.get("items"), dict):
-            # The checks of an item are few; one pass over the array for each.
-            for i in range(len(_checks(F.lit(None).cast(kind.elementType), kind.elementType, schema["items"], path))):
-                made = []
-                bad = F.exists(col, lambda x, i=i, made=made: (made.append(_checks(x, kind.elementType, schema["items"], path)[i]) or F.coalesce(made[-1][3], F.lit(False))))
-                out.append((made[0][0], made[0][1], f"An item: {made[0][2]}", ok & bad))
+            inner, item = schema["items"], kind.elementType
+            # The checks of an item are few; each takes one pass over the array.
+            for i, (name, where, message, _) in enumerate(_checks(F.lit(None).cast(item), item, inner, path)):
+                bad = F.exists(col, lambda x: F.coalesce(_checks(x, item, inner, path)[i][3], F.lit(False)))  # noqa: B023
+                out.append((name, where, f"An item: {message}", ok & bad))
     if isinstance(kind, T.StructType):
         out += _object_checks(lambda n: col.getField(n), kind, schema, path, ok)
     return out
