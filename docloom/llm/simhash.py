@@ -13,6 +13,12 @@ of its own distance. A tree is grown in the task that holds its shard, as the su
 trees has no bound that would allow a broadcast. A shard emits a spanning forest of its
 links: no pairs within groups.
 
+Texts that share a given part of their shingles, as near copies do, differ in too many bits
+for that: `similar_groups` takes fingerprints of 256 bits, deals them to shards by sampled
+bits, as many and as often as a stated recall needs, and searches the same trees within the
+radius that the similarity stands for. What is all but equal to a value in a tree isn't
+added to it, so a crowd of copies makes no large tree.
+
 Defined cases: null text is empty; a text without words has fingerprint zero, linked like
 any other; a text of fewer words than a shingle is one shingle; repeated rows get the same
 group; null ids are never a group's name unless all its ids are null.
@@ -36,9 +42,13 @@ SEED = 42
 SHARD_LIMIT, SPLITS = 1024, 2
 
 
-def text_fingerprints(texts: list[str | None], words: int = 4) -> np.ndarray:
-    """The 64-bit fingerprints as unsigned integers."""
-    out = np.zeros(len(texts), np.uint64)
+#: Factors that make further hashes of a hash, for fingerprints of more than 64 bits.
+FACTORS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+
+
+def text_fingerprints(texts: list[str | None], words: int = 4, lanes: int = 1) -> np.ndarray:
+    """The fingerprints: 64-bit unsigned integers, `lanes` of them for each text."""
+    out = np.zeros((len(texts), lanes), np.uint64)
     digest = xxhash.xxh64_intdigest
     for k, text in enumerate(texts):
         tokens = (text or "").encode().lower().split()  # bytes: ASCII case and white space only
@@ -50,10 +60,12 @@ def text_fingerprints(texts: list[str | None], words: int = 4) -> np.ndarray:
         starts = (ends - lengths)[: max(1, len(tokens) - words + 1)].tolist()
         ends = ends[words - 1 :].tolist() or [len(joined)]
         hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends, strict=True)), np.uint64, len(starts))
-        counts = np.zeros(64, np.int64)
-        for at in range(0, len(hashes), 65_536):
-            counts += np.unpackbits(hashes[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-        out[k] = np.packbits(counts * 2 > len(hashes)).view(np.uint64)[0]
+        counts = np.zeros(64 * lanes, np.int64)
+        for at in range(0, len(hashes), 16_384):
+            some = hashes[at : at + 16_384, None] * np.array(FACTORS[:lanes], np.uint64)
+            some[:, 1:] ^= some[:, 1:] >> np.uint64(32)
+            counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8 * lanes), axis=1).sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(counts * 2 > len(hashes)).view(np.uint64)
     return out
 
 
@@ -64,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                fps = text_fingerprints(part.column(1).to_pylist(), words).view(np.int64)
+                fps = text_fingerprints(part.column(1).to_pylist(), words)[:, 0].view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps)], names=["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -203,11 +215,93 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(labels, "fp").select("id", "fp", "component")
 
 
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+#: Lanes of wide fingerprints; the part of pairs at the similarity that some shard must hold;
+#: values per shard that are aimed at; values of a tree from which on only new ones are added.
+LANES, RECALL, SHARD_VALUES, CROWDED = 4, 0.95, 16, 1024
+
+
+def differing_share(similarity: float) -> float:
+    """Of the bits of two texts whose shingle sets overlap so (Jaccard), how many differ."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def crowd_links(values: list[int], radius: int) -> list[tuple[int, int]]:
+    """As `shard_links`, but what lies within an eighth of the radius of a value in the tree,
+    or once the tree is crowded within the radius, is linked and not added."""
+    tree, links = BKTree(), []
+    for value in values:
+        hits = tree.within(value, radius)
+        links += [(tree.values[h], value) for h in hits[:1]]
+        apart = min(((tree.values[h] ^ value).bit_count() for h in hits), default=radius + 1)
+        if len(hits) > 1:  # it may join several groups
+            links += [(tree.values[h], value) for h in hits[1:8]]
+        if apart > (radius if len(tree.values) >= CROWDED else radius // 8):
+            tree.add(value)
+    return links
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, fp, component): groups of rows linked by fingerprints that are as near as texts
+    of this similarity are, with a standard deviation more for its scatter."""
+    bits, size = 64 * LANES, 8 * LANES
+    share = differing_share(similarity)
+    radius = int(bits * share + np.sqrt(bits * share * (1 - share)) + 0.5)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                fps = text_fingerprints(part.column(1).to_pylist(), words, LANES)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f.tobytes() for f in fps], pa.binary())], names=["id", "fp"])
+
+    fps = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(prints, f"id {kind}, fp binary"), "wide-fingerprints")
+    distinct = written(fps.groupBy("fp").agg(F.min("id").alias("least")), "wide-distinct")
+    # The more fingerprints, the more bits a shard agrees on, and the more shards each is in.
+    width = max(12, int(np.ceil(np.log2(max(1, distinct.count()) / SHARD_VALUES))))
+    bands = int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - share) ** width)))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng(SEED)
+        chosen = [rng.choice(bits, width, replace=False) for _ in range(bands)]
+        weights = 1 << np.arange(width, dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                flat = np.unpackbits(np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(-1, size), axis=1)
+                for band, places in enumerate(chosen):
+                    yield pa.RecordBatch.from_arrays([pa.array((band << 48) + flat[:, places] @ weights), part.column(0)], names=["shard", "fp"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, values = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len(values) > 1 and (found := crowd_links(values, radius)):
+                ends = ([x[i].to_bytes(size, "big") for x in found] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in ends], names=["a", "b"])
+
+        for batch in batches:
+            for key, fp in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if key != shard:
+                    yield from flush()
+                    shard, values = key, []
+                values.append(int.from_bytes(fp, "big"))
+        yield from flush()
+
+    dealt = distinct.select("fp").mapInArrow(deal, "shard bigint, fp binary")
+    found = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(link, "a binary, b binary").distinct()
+    roots = component_roots(found)
+    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    labels = written(rooted.join(named, "root").select("fp", "component"), "wide-components")
+    return fps.join(labels, "fp").select("id", "fp", "component")
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs` that stand for their groups: of each, one row of the smallest id."""
     key, row = free_name(docs, "key"), free_name(docs, "row")
     keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
     ids = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(key).alias("key"))
-    groups = simhash_groups(keyed.select(ids.alias(row), text_col), row, text_col, words, radius)
+    groups = similar_groups(keyed.select(ids.alias(row), text_col), row, text_col, words, similarity)
     kept = groups.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id.key").alias(key)).distinct()
     return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)

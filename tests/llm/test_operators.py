@@ -413,3 +413,22 @@ def test_mix_meets_targets_and_caps(spark, corpus):
     repeated = source_mix.repeat_documents(source_mix.mix_sources(corpus[0])).collect()
     assert sum(len(words_of(r["text"])) for r in repeated) == sum(r["taken"] for r in mixed)
     assert source_mix.mix_sources(empty(spark)).count() == 0
+
+
+def test_similar_groups_catch_near_copies_only(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
+    originals = [[rng.choice(vocabulary) for _ in range(rng.randint(120, 400))] for _ in range(150)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(originals)]
+    for i, w in enumerate(originals[:60]):  # each change breaks five shingles of five words
+        w = list(w)
+        for at in rng.sample(range(len(w)), max(1, len(w) // 60)):
+            w[at] = rng.choice(vocabulary)
+        rows.append((1000 + i, " ".join(w)))
+    rows += [(2000, None), (2001, ""), (2002, "two words"), (2003, "two words")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["id"]: r["component"] for r in simhash.similar_groups(df).collect()}
+    assert sum(got[1000 + i] == i for i in range(60)) >= 56
+    assert all(got[i] == i for i in range(150))
+    assert (got[2001], got[2003]) == (2000, 2002)
+    assert simhash.similar_groups(df.limit(0)).count() == 0
