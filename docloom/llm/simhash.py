@@ -226,17 +226,31 @@ def differing_share(similarity: float) -> float:
 
 
 def crowd_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """As `shard_links`, but what lies within an eighth of the radius of a value in the tree,
-    or once the tree is crowded within the radius, is linked and not added."""
-    tree, links = BKTree(), []
+    """A spanning forest as `shard_links` makes it; but what lies within an eighth of the
+    radius of a value in the tree, or once the tree is crowded within the radius, is linked
+    and not added. Ascending values make the same links in many shards."""
+    tree, group, links = BKTree(), [], []
+
+    def root(x: int) -> int:
+        while group[x] != x:
+            group[x] = group[group[x]]
+            x = group[x]
+        return x
+
     for value in values:
-        hits = tree.within(value, radius)
-        links += [(tree.values[h], value) for h in hits[:1]]
+        hits = sorted(tree.within(value, radius), key=tree.values.__getitem__)
+        own = None  # the group that the value is in so far
+        for h in hits:
+            if (r := root(h)) != own:
+                links.append((tree.values[h], value))
+                if own is None:
+                    own = r
+                else:
+                    group[r] = own
         apart = min(((tree.values[h] ^ value).bit_count() for h in hits), default=radius + 1)
-        if len(hits) > 1:  # it may join several groups
-            links += [(tree.values[h], value) for h in hits[1:8]]
         if apart > (radius if len(tree.values) >= CROWDED else radius // 8):
             tree.add(value)
+            group.append(len(group) if own is None else own)
     return links
 
 
@@ -289,7 +303,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield from flush()
 
     dealt = distinct.select("fp").mapInArrow(deal, "shard bigint, fp binary")
-    found = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(link, "a binary, b binary").distinct()
+    found = dealt.repartition("shard").sortWithinPartitions("shard", "fp").mapInArrow(link, "a binary, b binary").distinct()
     roots = component_roots(found)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
