@@ -34,7 +34,7 @@ from .common import written
 
 WINDOW, OPEN, SHORTEST, END_ID = 2048, 16, 8, 1
 #: Words whose ids a task remembers, and partitions whose open windows merge in one task.
-CACHE, FAN_IN = 1_000_000, 64
+CACHE, FAN_IN = 700_000, 64
 CHUNK = re.compile(r"[^\t\n\x0b\x0c\r ]+")
 
 
