@@ -223,9 +223,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 #: Lanes of wide fingerprints; the part of pairs at the similarity that the search must find;
 #: the part that the radius alone must hold; values per shard that are aimed at; sets of at
-#: most so many shingles are dealt by their shingles instead of by bits; values of a tree
-#: from which on only new ones are added.
-LANES, RECALL, WITHIN, SHARD_VALUES, SHORT, CROWDED = 4, 0.95, 0.985, 16, 16, 1024
+#: most so many shingles are dealt by their shingles instead of by bits.
+LANES, RECALL, WITHIN, SHARD_VALUES, SHORT = 4, 0.95, 0.985, 16, 16
 #: The most that two sets of few shingles differ in at a similarity of 0.8 or more: 4 of 5.
 SHORT_SHARE, SHORT_WITHIN = 0.1875, 0.9999
 
@@ -261,10 +260,11 @@ def bands_for(share: float, radius: int, width: int, recall: float = RECALL) ->
 
 
 def crowd_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """A spanning forest as `shard_links` makes it, of places in `values`; but what lies within
-    an eighth of the radius of a value in the tree, or once the tree is crowded within the
-    radius, is linked and not added."""
-    tree, added, group, links = BKTree(), [], [], []
+    """A spanning forest as `shard_links` makes it, of places in `values`. What lies within
+    an eighth of the radius of a value in the tree is kept beside it instead of in the tree;
+    the search goes so much further, and what is kept is tested where its value is too far."""
+    tree, near, group, links = BKTree(), radius // 8, [], []
+    kept: list[list[int]] = []  # by place in the tree: places in `values`, the tree's own first
 
     def root(x: int) -> int:
         while group[x] != x:
@@ -273,19 +273,25 @@ def crowd_links(values: list[int], radius: int) -> list[tuple[int, int]]:
         return x
 
     for k, value in enumerate(values):
-        hits = tree.within(value, radius)
-        own = None  # the group that the value is in so far
-        for h in hits:
-            if (r := root(h)) != own:
-                links.append((added[h], k))
-                if own is None:
-                    own = r
-                else:
-                    group[r] = own
-        apart = min(((tree.values[h] ^ value).bit_count() for h in hits), default=radius + 1)
-        if apart > (radius if len(tree.values) >= CROWDED else radius // 8):
+        own, closest = None, (near + 1, -1)  # the group that the value is in so far
+        hits = sorted(((tree.values[h] ^ value).bit_count(), h) for h in tree.within(value, radius + near))
+        for d, h in hits:
+            closest = min(closest, (d, h))
+            if (r := root(h)) == own:
+                continue
+            met = kept[h][0] if d <= radius else next((m for m in kept[h] if (values[m] ^ value).bit_count() <= radius), None)
+            if met is None:
+                continue
+            links.append((met, k))
+            if own is None:
+                own = r
+            else:
+                group[r] = own
+        if closest[0] <= near:
+            kept[closest[1]].append(k)
+        else:
             tree.add(value)
-            added.append(k)
+            kept.append([k])
             group.append(len(group) if own is None else own)
     return links
 

@@ -466,3 +466,20 @@ def test_failed_candidates_hide_no_link(spark):
     want = components(range(len(sets)), lambda a, b: (a, b) in linked or (b, a) in linked)
     got = {r["id"]: r["component"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == want and len(set(want.values())) > 1
+
+
+def test_crowd_keeps_links_to_what_is_not_in_the_tree():
+    """A value whose only neighbour is one of a crowd's, kept beside the tree."""
+    rng = random.Random(5)
+    radius, near = 45, 45 // 8
+    first = rng.getrandbits(256)
+    flip = lambda v, bits: v ^ sum(1 << b for b in bits)
+    crowd = [first, flip(first, range(near))]
+    crowd += [flip(first, rng.sample(range(100, 256), rng.randint(8, 40))) for _ in range(1500)]
+    lone = flip(first, range(near + radius))
+    values = [*crowd, lone]
+    linked = {(values[a], values[b]) for a, b in simhash.crowd_links(values, radius)}
+    want = components(range(len(values)), lambda a, b: (values[a] ^ values[b]).bit_count() <= radius)
+    place = {v: i for i, v in enumerate(values)}
+    got = components(range(len(values)), lambda a, b: (values[a], values[b]) in linked or (values[b], values[a]) in linked)
+    assert want[place[lone]] == 0 and got == want
