@@ -483,3 +483,19 @@ def test_crowd_keeps_links_to_what_is_not_in_the_tree():
     place = {v: i for i, v in enumerate(values)}
     got = components(range(len(values)), lambda a, b: (values[a], values[b]) in linked or (values[b], values[a]) in linked)
     assert want[place[lone]] == 0 and got == want
+
+
+def test_few_held_out_documents_reject_no_clean_language(spark):
+    """Languages with one and with five held-out documents lose few clean ones."""
+    rng = random.Random(8)
+    vocabulary = {lang: [lang + "".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(60)] for lang in ("en", "xa", "xb")}
+    text = lambda lang: " ".join(rng.choices(vocabulary[lang], k=rng.randint(20, 120)))
+    rows = [(i, text("en"), "en", "s", 0) for i in range(800)]
+    rows += [(1000 + i, text("xa"), "xa", "s", 0) for i in range(200)] + [(2000 + i, text("xb"), "xb", "s", 0) for i in range(200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    half = {r["id"] for r in spark.range(3000).where(F.pmod(F.xxhash64("id"), F.lit(2)) == 0).collect()}
+    held = [i for i in range(1000, 2200) if i not in half]
+    labelled = [*range(800), *[i for i in held if i < 1200][:1], *[i for i in held if i >= 2000][:5]]
+    labels = spark.createDataFrame([(i, 1, 0) for i in labelled], "doc_id bigint, quality int, toxic int")
+    kept = collections.Counter(r["lang"] for r in quality_classifier.classify(docs, labels).where("keep").collect())
+    assert kept["xa"] >= 180 and kept["xb"] >= 190 and kept["en"] >= 780
