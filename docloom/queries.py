@@ -168,7 +168,7 @@ SQL: dict[str, str] = {
     "sql_group_status": "SELECT o_orderstatus AS status, COUNT(*) AS orders, CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS revenue FROM orders GROUP BY o_orderstatus ORDER BY orders DESC",
     "sql_inner_join": "SELECT n.n_name AS nation, r.r_name AS region FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey",
     "sql_left_join": "SELECT c.c_custkey AS customer, COUNT(o.o_orderkey) AS orders FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_custkey",
-    "sql_full_join": "SELECT s.s_nationkey AS sn, c.c_nationkey AS cn, COUNT(*) AS n FROM supplier s FULL OUTER JOIN (SELECT * FROM customer WHERE c_custkey < 50) c ON s.s_suppkey = c.c_custkey GROUP BY s.s_nationkey, c.c_nationkey",
+    "sql_full_join": "SELECT s.s_nationkey AS sn, c.c_nationkey AS cn, COUNT(*) AS n FROM supplier s FULL OUTER JOIN customer c ON s.s_suppkey = c.c_custkey AND s.s_nationkey < c.c_nationkey GROUP BY s.s_nationkey, c.c_nationkey",
     "sql_semi": "SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')",
     "sql_anti": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)",
     "sql_range_join": "SELECT b.lo AS lo, COUNT(*) AS n FROM part p JOIN (SELECT 0 AS lo, 10 AS hi UNION ALL SELECT 10, 30 UNION ALL SELECT 30, 51) b ON p.p_size >= b.lo AND p.p_size < b.hi GROUP BY b.lo",

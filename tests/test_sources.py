@@ -134,3 +134,14 @@ def test_every_query_has_an_oracle_and_runs(spark):
     assert entry.entry(spark).columns == ["event_id", "user_id", "value"]
     for name in ("lookup_join", "profile", "diff_rows", "sql_window"):
         assert queries.QUERIES[name](spark, DATA).columns
+
+
+def test_full_join_keeps_every_row(spark):
+    """All suppliers and all customers are counted, those without a partner too."""
+    from conftest import DATA
+
+    got = queries.QUERIES["sql_full_join"](spark, DATA).collect()
+    suppliers, customers = (spark.read.parquet(f"{DATA}/{t}.parquet").count() for t in ("supplier", "customer"))
+    assert sum(r["n"] for r in got if r["sn"] is not None) == suppliers
+    assert sum(r["n"] for r in got if r["cn"] is not None) == customers
+    assert any(r["sn"] is None for r in got) and any(r["cn"] is None for r in got)
