@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,15 +42,51 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_folder: ContextVar[str] = ContextVar("folder", default="")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is `written` within goes when it ends; nothing that outlasts it may need it."""
+    name = f"scratch-{uuid.uuid4().hex}/"
+    before = _folder.set(name)
+    try:
+        yield
+    finally:
+        _folder.reset(before)
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage, and a lost
     executor costs nothing that came before."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{_folder.get()}{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that one task takes in a join; rows that may be broadcast.
+HOT_ROWS, SMALL_ROWS = 65_536, 100_000
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: str, how: str = "inner", limit: int = HOT_ROWS) -> DataFrame:
+    """`many` joined with `one`, which has a row per key, where a key may hold a great part
+    of `many`: keys of more than `limit` rows are split, and their row of `one` repeated."""
+    hot = many.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    hot = written(hot.select(key, F.ceil(F.col("n") / limit).cast("int").alias("split")), "hot-keys")
+    n = hot.count()
+    if not n:
+        return many.join(one, key, how)
+    hot = F.broadcast(hot) if n <= SMALL_ROWS else hot
+    others = [c for c in many.columns if c != key]
+    split = F.coalesce("split", F.lit(1))
+    left = many.join(hot, key, "left").withColumn("split", F.pmod(F.xxhash64(*others) if others else F.lit(0), split).cast("int"))
+    right = one.join(hot, key, "left").withColumn("split", F.explode(F.sequence(F.lit(0), split - 1)))
+    return left.join(right, [key, "split"], how).drop("split")
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """`name`, with underscores added until no column of `df` is called so."""
     taken = {c.lower() for c in df.columns}

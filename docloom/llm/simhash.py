@@ -13,12 +13,8 @@ of its own distance. A tree is grown in the task that holds its shard, as the su
 trees has no bound that would allow a broadcast. A shard emits a spanning forest of its
 links: no pairs within groups.
 
-Texts that share a given part of their shingles, as near copies do, differ in too many bits
-for that: `similar_groups` takes fingerprints of 256 bits of the distinct shingles, deals
-them to shards by sampled bits, as many and as often as a stated recall of radius and shards
-together needs, and searches the same trees within the radius that the similarity stands
-for. Sets of few shingles are dealt by the shingles themselves. What the trees find is a
-candidate only: texts are linked where their shingle sets overlap enough, by exact count.
+`near_copies` builds upon this what the pipeline needs: wider fingerprints as candidates for
+texts that share a given part of their shingles.
 
 Defined cases: null text is empty; a text without words has fingerprint zero, linked like
 any other; a text of fewer words than a shingle is one shingle; repeated rows get the same
@@ -27,7 +23,6 @@ group; null ids are never a group's name unless all its ids are null.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import spread_join, written
 from .components import component_roots
 
 SEED = 42
@@ -44,8 +39,8 @@ SEED = 42
 SHARD_LIMIT, SPLITS = 1024, 2
 
 
-#: Factors that make further hashes of a hash, for fingerprints of more than 64 bits.
-FACTORS = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+#: Odd factors that make further hashes of a hash, for fingerprints of more than 64 bits.
+FACTORS = np.multiply.accumulate(np.array([1, *[0x9E3779B97F4A7C15] * 15], np.uint64))
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -64,7 +59,7 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
 def hashes_fingerprint(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
     counts = np.zeros(64 * lanes, np.int64)
     for at in range(0, len(hashes), 16_384):
-        some = hashes[at : at + 16_384, None] * np.array(FACTORS[:lanes], np.uint64)
+        some = hashes[at : at + 16_384, None] * FACTORS[:lanes]
         some[:, 1:] ^= some[:, 1:] >> np.uint64(32)
         counts += np.unpackbits(some.view(np.uint8).reshape(-1, 8 * lanes), axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(counts * 2 > len(hashes)).view(np.uint64)
@@ -217,234 +212,5 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     roots = component_roots(links(distinct.select("fp"), radius))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    labels = written(rooted.join(named, "root").select("fp", "component"), "components")
-    return fps.join(labels, "fp").select("id", "fp", "component")
-
-
-#: Lanes of wide fingerprints; the part of pairs at the similarity that the search must find;
-#: the part that the radius alone must hold; values per shard that are aimed at; sets of at
-#: most so many shingles are dealt by their shingles instead of by bits.
-LANES, RECALL, WITHIN, SHARD_VALUES, SHORT = 4, 0.95, 0.985, 16, 16
-#: The most that two sets of few shingles differ in at a similarity of 0.8 or more: 4 of 5.
-SHORT_SHARE, SHORT_WITHIN = 0.1875, 0.9999
-
-
-def differing_share(similarity: float) -> float:
-    """Of the bits of two texts whose shingle sets overlap so (Jaccard), how many differ."""
-    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
-
-
-def _differing(share: float, bits: int) -> np.ndarray:
-    """The probabilities that 0, 1 ... of the bits differ."""
-    return np.array([math.comb(bits, d) * share**d * (1 - share) ** (bits - d) for d in range(bits + 1)])
-
-
-def radius_for(share: float, within: float, bits: int = 64 * LANES) -> int:
-    return int(np.searchsorted(np.cumsum(_differing(share, bits)), within))
-
-
-def recall_of(share: float, radius: int, width: int, bands: int, bits: int = 64 * LANES) -> float:
-    """The part of pairs that are within the radius and also share one of the bands' shards."""
-    agree = np.array([math.comb(bits - d, width) / math.comb(bits, width) for d in range(radius + 1)])
-    return float((_differing(share, bits)[: radius + 1] * (1 - (1 - agree) ** bands)).sum())
-
-
-def bands_for(share: float, radius: int, width: int, recall: float = RECALL) -> int:
-    low, high = 0, 1
-    while recall_of(share, radius, width, high) < recall:
-        low, high = high, 2 * high
-    while high - low > 1:
-        middle = (low + high) // 2
-        low, high = (low, middle) if recall_of(share, radius, width, middle) >= recall else (middle, high)
-    return high
-
-
-def crowd_links(values: list[int], radius: int) -> list[tuple[int, int]]:
-    """A spanning forest as `shard_links` makes it, of places in `values`. What lies within
-    an eighth of the radius of a value in the tree is kept beside it instead of in the tree;
-    the search goes so much further, and what is kept is tested where its value is too far."""
-    tree, near, group, links = BKTree(), radius // 8, [], []
-    kept: list[list[int]] = []  # by place in the tree: places in `values`, the tree's own first
-
-    def root(x: int) -> int:
-        while group[x] != x:
-            group[x] = group[group[x]]
-            x = group[x]
-        return x
-
-    for k, value in enumerate(values):
-        own, closest = None, (near + 1, -1)  # the group that the value is in so far
-        hits = sorted(((tree.values[h] ^ value).bit_count(), h) for h in tree.within(value, radius + near))
-        for d, h in hits:
-            closest = min(closest, (d, h))
-            if (r := root(h)) == own:
-                continue
-            met = kept[h][0] if d <= radius else next((m for m in kept[h] if (values[m] ^ value).bit_count() <= radius), None)
-            if met is None:
-                continue
-            links.append((met, k))
-            if own is None:
-                own = r
-            else:
-                group[r] = own
-        if closest[0] <= near:
-            kept[closest[1]].append(k)
-        else:
-            tree.add(value)
-            kept.append([k])
-            group.append(len(group) if own is None else own)
-    return links
-
-
-def _node(hashes: np.ndarray) -> int:
-    """A set's name: texts of the same set are one."""
-    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
-
-
-def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
-    """(shard, its rows) of batches in the order of their first column."""
-    shard, rows = None, []
-    for batch in batches:
-        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if row[0] != shard:
-                if len(rows) > 1:
-                    yield shard, rows
-                shard, rows = row[0], []
-            rows.append(row)
-    if len(rows) > 1:
-        yield shard, rows
-
-
-def _pairs(a: list[int], b: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-
-def overlapping(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those `pairs` (a, b) of nodes whose sets (node, hashes) overlap so or more (Jaccard)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if both / (len(x) + len(y) - both) >= similarity:
-                    a.append(batch.column(0)[i].as_py())
-                    b.append(batch.column(1)[i].as_py())
-            yield _pairs(a, b)
-
-    first = sets.select(F.col("node").alias("a"), F.col("hashes").alias("of_a"))
-    second = sets.select(F.col("node").alias("b"), F.col("hashes").alias("of_b"))
-    return pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a bigint, b bigint")
-
-
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, fp, component): groups of rows linked by shingle sets that overlap so or more.
-
-    The trees' links are candidates. First each shard's spanning forest is tested against
-    the sets; then every candidate pair that is in two groups still, so that no tested link
-    that fails can hide one that holds."""
-    bits, size = 64 * LANES, 8 * LANES
-    share = differing_share(similarity)
-    radius, short_radius = radius_for(share, WITHIN), radius_for(max(share, SHORT_SHARE), SHORT_WITHIN)
-    kind = docs.schema[id_col].dataType.simpleString()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.withColumn("same", F.xxhash64("text"))
-    least_of = lambda n: max(1, math.ceil(similarity * n - 1e-9))
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = [np.unique(shingle_hashes(t, words)) for t in part.column(1).to_pylist()]
-                # What a short set shares with a similar one is among its first.
-                first = [s[: len(s) - least_of(len(s)) + 1] if 0 < len(s) <= SHORT / similarity else s[:0] for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array([_node(s) for s in sets]), pa.array([len(s) for s in sets]), pa.array([hashes_fingerprint(s, LANES).tobytes() for s in sets], pa.binary()), pa.array([f.view(np.int64).tolist() for f in first], pa.list_(pa.int64()))],
-                    names=["id", "same", "node", "n", "fp", "first"],
-                )
-
-    fps = written(texts.mapInArrow(prints, f"id {kind}, same bigint, node bigint, n bigint, fp binary, first array<bigint>"), "wide-fingerprints")
-    least = F.min(F.struct("id", "same", "n", "fp", "first")).alias("s")
-    distinct = written(fps.groupBy("node").agg(least).select("node", F.col("s.id").alias("least"), "s.same", "s.n", "s.fp", "s.first"), "wide-distinct")
-    # The more sets, the more bits a shard agrees on, and the more shards each is in.
-    width = max(12, int(np.ceil(np.log2(max(1, distinct.count()) / SHARD_VALUES))))
-    bands = bands_for(share, radius, width)
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng(SEED)
-        chosen = [rng.choice(bits, width, replace=False) for _ in range(bands)]
-        weights = 1 << np.arange(width, dtype=np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                others = [c for c in part.schema.names if c != "first"]
-                first, n = part.column("first"), part.column("n").to_numpy()
-                flat = np.unpackbits(np.frombuffer(b"".join(part.column("fp").to_pylist()), np.uint8).reshape(-1, size), axis=1)
-                long = np.flatnonzero(n > SHORT)
-                for band, places in enumerate(chosen):
-                    shard = (band << 48) + flat[long][:, places] @ weights
-                    yield pa.RecordBatch.from_arrays([pa.array(shard), *[part.column(c).take(pa.array(long)) for c in others]], names=["shard", *others])
-                shards = [(-1 - (h & (1 << 64) - 1 >> 1), i) for i, hs in enumerate(first.to_pylist()) for h in hs]
-                at_short = pa.array([i for _, i in shards], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in shards], pa.int64()), *[part.column(c).take(at_short) for c in others]], names=["shard", *others])
-
-    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, rows in _by_shard(batches):
-            values = [int.from_bytes(r[3], "big") for r in rows]
-            if found := crowd_links(values, short_radius if shard < 0 else radius):
-                yield _pairs([rows[i][1] for i, _ in found], [rows[k][1] for _, k in found])
-
-    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, rows in _by_shard(batches):
-            _, nodes, n, fp, root = zip(*rows, strict=True)
-            nodes, n, root = np.array(nodes), np.array(n), np.array(root)
-            if (root == root[0]).all():
-                continue
-            fp = np.frombuffer(b"".join(fp), np.uint64).reshape(-1, LANES)
-            reach = short_radius if shard < 0 else radius
-            for i in range(len(nodes) - 1):
-                near = np.bitwise_count(fp[i + 1 :] ^ fp[i]).sum(1) <= reach
-                even = np.minimum(n[i + 1 :], n[i]) / np.maximum(n[i + 1 :], n[i]) >= similarity
-                met = nodes[i + 1 :][near & even & (root[i + 1 :] != root[i])]
-                if len(met):
-                    yield _pairs(np.minimum(met, nodes[i]), np.maximum(met, nodes[i]))
-
-    def dealt(nodes: DataFrame) -> DataFrame:
-        """`nodes` (node, n, fp, first and perhaps root) in order of their shards."""
-        kept = ", ".join(f"{c} {'binary' if c == 'fp' else 'bigint'}" for c in nodes.columns if c != "first")
-        return nodes.mapInArrow(deal, f"shard bigint, {kept}").repartition("shard").sortWithinPartitions("shard", "fp", "node")
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                sets = [np.unique(shingle_hashes(t, words)) for t in batch.slice(at, 256).column(0).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets]), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
-
-    ordered = (F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    tried = written(dealt(distinct.select("node", "n", "fp", "first")).mapInArrow(forest, "a bigint, b bigint").select(*ordered).distinct(), "wide-candidates")
-    met = written(distinct.join(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi"), "wide-met")
-    wanted = met.select(F.col("least").alias("id"), "same")
-    chosen = texts.join(wanted, texts["id"].eqNullSafe(wanted["id"]) & (texts["same"] == wanted["same"]), "left_semi")
-    sets = written(chosen.select("text").mapInArrow(sets_of, "node bigint, hashes binary").dropDuplicates(["node"]), "wide-sets")
-    held = written(overlapping(tried, sets, similarity), "wide-links")
-    roots = written(component_roots(held), "wide-roots")
-    labelled = met.join(roots, "node", "left").select("node", "n", "fp", "first", F.coalesce("root", "node").alias("root"))
-    rest = dealt(labelled).mapInArrow(across, "a bigint, b bigint").distinct().join(tried, ["a", "b"], "left_anti")
-    more = written(overlapping(written(rest, "wide-rest"), sets, similarity), "wide-more")
-    if not more.isEmpty():
-        roots = component_roots(held.unionByName(more))
-    rooted = distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    labels = written(rooted.join(named, "root").select("node", "component"), "wide-components")
-    return fps.join(labels, "node").select("id", "fp", "component")
-
-
-def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` that stand for their groups: of each, one row of the smallest id."""
-    key, row = free_name(docs, "key"), free_name(docs, "row")
-    keyed = docs.withColumn(key, F.xxhash64(id_col, text_col))
-    ids = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col(key).alias("key"))
-    groups = similar_groups(keyed.select(ids.alias(row), text_col), row, text_col, words, similarity)
-    kept = groups.where(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id.key").alias(key)).distinct()
-    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).drop(key)
+    labels = written(spread_join(rooted, named, "root").select("fp", "component"), "components")
+    return spread_join(fps, labels, "fp").select("id", "fp", "component")

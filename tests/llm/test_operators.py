@@ -415,76 +415,6 @@ def test_mix_meets_targets_and_caps(spark, corpus):
     assert source_mix.mix_sources(empty(spark)).count() == 0
 
 
-def test_similar_groups_catch_near_copies_only(spark):
-    rng = random.Random(9)
-    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(3000)]
-    originals = [[rng.choice(vocabulary) for _ in range(rng.randint(120, 400))] for _ in range(150)]
-    rows = [(i, " ".join(w)) for i, w in enumerate(originals)]
-    for i, w in enumerate(originals[:60]):  # each change breaks five shingles of five words
-        w = list(w)
-        for at in rng.sample(range(len(w)), max(1, len(w) // 60)):
-            w[at] = rng.choice(vocabulary)
-        rows.append((1000 + i, " ".join(w)))
-    rows += [(2000, None), (2001, ""), (2002, "two words"), (2003, "two words")]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r["id"]: r["component"] for r in simhash.similar_groups(df).collect()}
-    assert sum(got[1000 + i] == i for i in range(60)) >= 56
-    assert all(got[i] == i for i in range(150))
-    assert (got[2001], got[2003]) == (2000, 2002)
-    assert simhash.similar_groups(df.limit(0)).count() == 0
-
-
-def test_similar_groups_link_by_overlap_alone(spark):
-    """At an overlap of 0.8 and just above nearly all pairs are found, below it none is."""
-    rng = random.Random(11)
-    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
-    rows, overlap, shingles = [], {}, lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
-    for i in range(600):
-        n = rng.randint(150, 400)
-        w = [word() for _ in range(n)] if i % 4 else [word() for _ in range(rng.randint(8, 24))]
-        m = len(w) - 4  # shingles, of which this part is shared
-        cut = m - math.ceil(m * (rng.choice((8 / 9, 0.895)) if i % 2 else rng.choice((0.8, 0.86)))) or 1
-        v = w[:-cut] + [word() for _ in range(cut)]
-        rows += [(i, " ".join(w)), (1000 + i, " ".join(v))]
-        a, b = shingles(w), shingles(v)
-        overlap[i] = len(a & b) / len(a | b)
-    got = {r["id"]: r["component"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    similar = [i for i in overlap if overlap[i] >= 0.8]
-    apart = [i for i in overlap if 0.6 < overlap[i] < 0.8]
-    assert len(similar) > 150 and len(apart) > 150 and np.mean([overlap[i] for i in similar]) < 0.84
-    assert sum(got[1000 + i] == i for i in similar) >= 0.94 * len(similar)
-    assert all(got[1000 + i] == 1000 + i for i in apart)
-
-
-def test_failed_candidates_hide_no_link(spark):
-    """A text between two others: links that fail the overlap keep none that holds away."""
-    base = [f"w{i}" for i in range(300)]
-    texts = [base[:k] + [f"x{k}-{i}" for i in range(300 - k)] for k in range(240, 300, 4)]
-    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
-    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
-    linked = {(a, b) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
-    want = components(range(len(sets)), lambda a, b: (a, b) in linked or (b, a) in linked)
-    got = {r["id"]: r["component"] for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
-    assert got == want and len(set(want.values())) > 1
-
-
-def test_crowd_keeps_links_to_what_is_not_in_the_tree():
-    """A value whose only neighbour is one of a crowd's, kept beside the tree."""
-    rng = random.Random(5)
-    radius, near = 45, 45 // 8
-    first = rng.getrandbits(256)
-    flip = lambda v, bits: v ^ sum(1 << b for b in bits)
-    crowd = [first, flip(first, range(near))]
-    crowd += [flip(first, rng.sample(range(100, 256), rng.randint(8, 40))) for _ in range(1500)]
-    lone = flip(first, range(near + radius))
-    values = [*crowd, lone]
-    linked = {(values[a], values[b]) for a, b in simhash.crowd_links(values, radius)}
-    want = components(range(len(values)), lambda a, b: (values[a] ^ values[b]).bit_count() <= radius)
-    place = {v: i for i, v in enumerate(values)}
-    got = components(range(len(values)), lambda a, b: (values[a], values[b]) in linked or (values[b], values[a]) in linked)
-    assert want[place[lone]] == 0 and got == want
-
-
 def test_few_held_out_documents_reject_no_clean_language(spark):
     """Languages with one and with five held-out documents lose few clean ones."""
     rng = random.Random(8)
