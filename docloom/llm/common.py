@@ -58,11 +58,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage, and a lost
-    executor costs nothing that came before."""
+    executor costs nothing that came before. What is `lasting` outlasts a `scratch`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{_folder.get()}{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{'' if lasting else _folder.get()}{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
