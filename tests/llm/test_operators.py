@@ -250,16 +250,80 @@ def test_language_model(spark):
     assert model > base
 
 
-def test_class_model_sums_to_one():
+def plain_probability(model, counts, word, one, two):
+    """Of a word after `two`, `one` (hashes), from the counts and weights alone."""
+    import xxhash
+
+    tree, n = model.tree, counts[word]
+    code = int(maxent_lm.leaf_code(np.array([xxhash.xxh64_intdigest(word)], np.uint64))[0])
+    by_class = collections.defaultdict(list)
+    for w, c in counts.items():
+        by_class[c.bit_length()].append(w)
+    depth = int(tree.depth[n.bit_length()]) if n else 0
+    mask = (1 << 64) - 1
+    context = np.array([[one * int(maxent_lm.FIRST) & mask], [two * int(maxent_lm.SECOND) & mask], [one * int(maxent_lm.THIRD) & mask ^ two * int(maxent_lm.FIRST) & mask]], np.uint64)
+
+    def branch(level, node, taken):
+        z = tree.bias[level][node] + sum(model.weights[b[0]] for b in model.buckets(context, level, np.array([node])))
+        return math.exp(z[taken] - z.max()) / np.exp(z - z.max()).sum()
+
+    p = branch(0, 0, n.bit_length())
+    prefix = 0
+    for d in range(depth):
+        digit = code >> 5 * (maxent_lm.DEPTH - 1 - d) & 31
+        p *= branch(d + 1, n.bit_length() * 32**d + prefix, digit)
+        prefix = prefix * 32 + digit
+    if n:
+        code_of = lambda w: int(maxent_lm.leaf_code(np.array([xxhash.xxh64_intdigest(w)], np.uint64))[0]) >> 5 * (maxent_lm.DEPTH - depth)
+        p *= n / sum(counts[w] for w in by_class[n.bit_length()] if code_of(w) == prefix)
+    return p
+
+
+def test_language_model_is_a_distribution_and_learns_contexts(spark):
+    """Scores are the sums of probabilities that sum to 1 in each context; held-out texts are
+    likelier than by counts alone."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
+    blocks, model = maxent_lm.fit(docs)
+    got = {r["id"]: r for r in maxent_lm.score_blocks(blocks, model, "bigint").collect()}
+    texts = {r["doc_id"]: [w.encode() for w in words_of(lower(r["text"]))] + [b" "] for r in docs.collect()}
+    counts = collections.Counter(w for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
+    digest, before = xxhash.xxh64_intdigest, int(maxent_lm.BEFORE)
+    short = sorted(texts, key=lambda i: len(texts[i]))[::30]
+    for i in short[:5]:
+        t, total = texts[i][:], 0.0
+        for k, w in enumerate(t):
+            one, two = (digest(t[k - 1]) if k else before), (digest(t[k - 2]) if k > 1 else before)
+            total += math.log10(plain_probability(model, counts, w, one, two))
+        assert math.isclose(got[i]["score"], total, rel_tol=1e-4)
+    some = texts[short[-1]]
+    few = collections.Counter({w: c for w, c in counts.items() if c > 15})
+    for one, two in ((before, before), (digest(some[1]), digest(some[0]))):
+        known = sum(plain_probability(model, counts, w, one, two) for w in list(few)[:40])
+        assert 0 < known < 1
+    flat = maxent_lm.Model(model.tree, np.zeros_like(model.weights))
+    plain = {r["id"]: r["score"] for r in maxent_lm.score_blocks(blocks, flat, "bigint").collect()}
+    held = [i for i in got if got[i]["held_out"]]
+    assert sum(got[i]["score"] for i in held) > sum(plain[i] for i in held)
+
+
+def test_softmaxes_sum_to_one_over_all_words():
+    """All known words of a small vocabulary, and the unknown, in random contexts."""
     rng = np.random.default_rng(1)
-    model = maxent_lm.ClassModel(rng.normal(size=maxent_lm.CLASSES))
-    feats = maxent_lm.features(rng.integers(0, 2**32, 50).astype(np.uint64), np.array([20, 1, 29]))
-    before = model.log_probabilities(feats)
-    assert np.allclose(np.exp(before).sum(1), 1, atol=1e-5)
-    classes = rng.integers(0, maxent_lm.CLASSES, 50)
+    words = rng.integers(0, 1 << 63, 700).astype(np.uint64)
+    counts = np.concatenate([np.ones(400), rng.integers(2, 9, 250), rng.integers(100, 5000, 50)]).astype(np.int64)
+    classes, codes = maxent_lm.token_class(counts).astype(np.int64), maxent_lm.leaf_code(words)
+    leaves, at = np.unique(classes << 15 | codes, return_inverse=True)
+    tree = maxent_lm.Tree(leaves, np.bincount(at), np.bincount(at, counts).astype(np.int64), np.bincount(maxent_lm.token_class(counts - 1), counts, maxent_lm.WAYS))
+    model = maxent_lm.Model(tree, rng.normal(size=(1 << 14, maxent_lm.WAYS)).astype(np.float32))
+    for _ in range(3):
+        context = np.repeat(rng.integers(0, 1 << 63, (3, 1)).astype(np.uint64), 701, axis=1)
+        logs = model.log_probabilities(context, np.append(classes, 0), np.append(codes, 0))
+        assert math.isclose(np.exp(logs + np.log(np.append(tree.share(counts, classes, codes), 1.0))).sum(), 1, rel_tol=1e-4)
+    before = logs
+    seen = np.zeros(1 << 14)
     for _ in range(20):
-        model.step(feats, classes, np.zeros(3 * maxent_lm.BUCKETS))
-    assert model.log_probabilities(feats)[np.arange(50), classes].mean() > before[np.arange(50), classes].mean()
+        model.step(context[:, :50], classes[-50:], codes[-50:], seen)
+    assert model.log_probabilities(context[:, :50], classes[-50:], codes[-50:]).mean() > before[-51:-1].mean()
 
 
 def test_language_model_edges(spark, corpus):
