@@ -1,19 +1,22 @@
 """Approximate nearest neighbours over balanced posting lists.
 
 Centroids are fitted on a bounded sample by hierarchical balanced clustering. Every vector
-goes to its nearest centroid's list, and boundary vectors are replicated to further lists
-whose centroids are nearly as close, unless a list already chosen lies closer to that
-centroid than the vector does. Centroids are found through an in-memory neighbour graph,
+goes to its nearest centroid's list. Boundary vectors, the part BOUNDARY of all whose next
+centroid is nearly as close, are replicated to further lists, unless a list already chosen
+lies close to that centroid. Centroids are found through an in-memory neighbour graph,
 searched best first. A query takes the lists whose centroids are within a ratio of its
 nearest centroid's distance, and ranks what they hold by exact distance.
 
+Both ratios are measured when the index is built, on bounded samples: that of a boundary by
+quantile, and that of a query by brute force of QUERIES sampled vectors against all: the
+ratio by which FOUND of their true neighbours are in lists within it. So clustered vectors
+have few lists read, and vectors without clusters as many as they need.
+
 Equal vectors are one entry: it keeps the smallest k + 1 ids, as no answer can need more,
 so a vector that a third of all rows share is one candidate and one query. A posting list
 of more than `LIST_ROWS` entries is divided into parts, all of which a query visits: no
 entry is dropped. What is broadcast is the graph: at most MOST_CENTROIDS vectors.
 
-Recall: measured against brute force in the tests and the README; at least 0.9.
-
 Defined cases: vectors that are null, zero, of another length than most, or that hold null
 or non-finite components take no part; ties go to the smaller id; with fewer than k
 candidates all are returned; repeated rows of one id count as candidates once; an empty
@@ -23,6 +26,7 @@ table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -33,12 +37,13 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Bounds of the index: rows of the fitting sample, centroids, neighbours in the graph.
-SAMPLE_ROWS, MOST_CENTROIDS, DEGREE = 65_536, 4_096, 16
-#: Entries a centroid stands for, replicas of a boundary vector and how near they must be.
-PER_CENTROID, REPLICAS, CLOSURE = 48, 8, 1.25
-#: Lists a query visits at most (the share of all, but no fewer than the number), and the
-#: distance ratio that prunes them.
-PROBES, PROBE_SHARE, RATIO = 64, 1 / 16, 1.6
+SAMPLE_ROWS, MOST_CENTROIDS, DEGREE = 131_072, 16_384, 16
+#: Entries a centroid stands for, the part of vectors that are replicated, lists of each at
+#: most and the ratio that they must be within whatever the part.
+PER_CENTROID, BOUNDARY, REPLICAS, CLOSURE = 48, 0.3, 3, 1.25
+#: Sampled vectors that the ratio of queries is measured with, and the part of their true
+#: neighbours that must be in the lists they then read.
+QUERIES, FOUND = 256, 0.96
 #: Rows of a part of a posting list that one call ranks.
 LIST_ROWS = 4_096
 
@@ -127,14 +132,16 @@ class CentroidGraph:
         return np.where(ok, beam, -1)[:, :k], np.sqrt(np.where(ok, nd, np.inf))[:, :k]
 
 
-def choose_lists(graph: CentroidGraph, points: np.ndarray) -> list[np.ndarray]:
-    """The lists of each vector: the nearest, and close ones that no chosen list shields."""
+def choose_lists(graph: CentroidGraph, points: np.ndarray, closure: float) -> list[np.ndarray]:
+    """The lists of each vector: the nearest, and for boundary vectors close ones that no
+    chosen list shields."""
     places, dist = graph.search(points, REPLICAS * 2)
+    near = (places >= 0) & (dist <= closure * dist[:, :1])
     out = []
-    for row, d in zip(places, dist, strict=True):
+    for row, d, ok in zip(places, dist, near, strict=True):
         chosen = [row[0]]
-        for c, dc in zip(row[1:], d[1:], strict=True):
-            if c < 0 or len(chosen) == REPLICAS or dc > CLOSURE * d[0]:
+        for c, dc in zip(row[1:][ok[1:]], d[1:][ok[1:]], strict=True):
+            if len(chosen) == REPLICAS:
                 break
             gaps = ((graph.centres[chosen] - graph.centres[c]) ** 2).sum(1)
             if (gaps > (0.25 * dc) ** 2).all():
@@ -148,6 +155,70 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(n, -1) if n else np.zeros((0, 0))
 
 
+class Index(NamedTuple):
+    """Entries (v, ids, lists) with the graph of their lists' centroids, and what queries take."""
+
+    assigned: DataFrame
+    graph: CentroidGraph
+    closure: float
+    ratio: float
+    probes: int
+
+
+def _measured_ratio(assigned: DataFrame, graph: CentroidGraph, k: int) -> tuple[float, int]:
+    """(the ratio of centroid distances, the number of lists) that FOUND of the true k nearest
+    of sampled entries need; by brute force in the tasks, which send k + 1 rows a query."""
+    sample = assigned.select("v").orderBy(F.xxhash64("v"), "v").limit(QUERIES).toArrow()
+    asked = np.concatenate([_matrix(c) for c in sample.column("v").chunks if len(c)])
+    to_centres = np.sqrt(_nearest(asked, graph.centres))
+    shared = assigned.sparkSession.sparkContext.broadcast((asked, to_centres / np.maximum(to_centres.min(1, keepdims=True), 1e-12)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, ratios = shared.value
+        best = [[] for _ in asked]
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                some = batch.slice(at, 4096)
+                d, lists = _nearest(asked, _matrix(some.column("v"))), some.column("lists").to_pylist()
+                for q, row in enumerate(d):
+                    near = np.argpartition(row, min(k, len(row) - 1))[: k + 1]
+                    best[q] = sorted([*best[q], *((float(row[i]), float(ratios[q, lists[i]].min())) for i in near)])[: k + 1]
+        rows = [(q, *r) for q, found in enumerate(best) for r in found]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.float64(), pa.float64()), strict=True)], names=["q", "d", "need"])
+
+    rows = assigned.select("v", "lists").mapInArrow(run, "q int, d double, need double")
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "need"))).where((F.col("r") > 1) & (F.col("r") <= k + 1))
+    need = ranked.select("need").toArrow().column("need").to_numpy()  # k rows of each query; the first is itself
+    ratio = float(np.quantile(need, FOUND)) if len(need) else 1.0
+    within = (to_centres <= ratio * to_centres.min(1, keepdims=True) + 1e-9).sum(1)
+    return ratio, int(min(len(graph.centres), np.ceil(within.max() * 1.1) + 1))
+
+
+def build_index(entries: DataFrame, k: int, id_type: str) -> Index | None:
+    """The index of `entries` (v, ids); None without any."""
+    spark, n = entries.sparkSession, entries.count()
+    if not n:
+        return None
+    sample = entries.sample(min(1.0, SAMPLE_ROWS / n), seed=7).select("v").limit(SAMPLE_ROWS * 5 // 4).toArrow()
+    points = [_matrix(c) for c in sample.column("v").chunks if len(c)]
+    points = np.concatenate(points or [_matrix(c) for c in entries.select("v").limit(1).toArrow().column("v").chunks])
+    graph = CentroidGraph(fit_centroids(points, min(MOST_CENTROIDS, max(1, n // PER_CENTROID))))
+    _, near = graph.search(points[:4096], 2)
+    closure = min(CLOSURE, float(np.quantile(near[:, 1] / np.maximum(near[:, 0], 1e-12), BOUNDARY))) if near.shape[1] > 1 else 1.0
+    shared = spark.sparkContext.broadcast(graph)  # at most MOST_CENTROIDS vectors
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                lists = choose_lists(shared.value, _matrix(some.column("v")), closure)
+                yield pa.RecordBatch.from_arrays([some.column("v"), some.column("ids"), pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))], names=["v", "ids", "lists"])
+
+    assigned = written(entries.select("v", "ids").mapInArrow(assign, f"v array<double>, ids array<{id_type}>, lists array<int>"), "ann-assigned")
+    return Index(assigned, graph, closure, *_measured_ratio(assigned, graph, k))
+
+
 def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score) for the rows where `is_query` holds, against all others."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -155,45 +226,32 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0)).where(F.forall("v", fine) & F.exists("v", lambda x: x != 0))
     rows = rows.withColumn("v", F.transform("v", lambda x: x + F.lit(0.0)))  # one zero
     width = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    schema = f"query_id {vectors.schema[id_col].dataType.simpleString()}, rank int, id {vectors.schema[id_col].dataType.simpleString()}, score double"
+    id_type = vectors.schema[id_col].dataType.simpleString()
+    schema = f"query_id {id_type}, rank int, id {id_type}, score double"
     if width is None:
         return vectors.sparkSession.createDataFrame([], schema)
     rows = rows.where(F.size("v") == width[0]).withColumn("h", F.xxhash64("v"))
     # The k + 1 smallest ids of equal vectors; the limit by rank works before the shuffle too.
     ranked = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("h", "v").orderBy("id"))).where(F.col("r") <= k + 1)
     entries = written(ranked.groupBy("h", "v").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.col("h").alias("entry"), "v", "ids"), "ann-entries")
-    n = entries.count()
-    sample = entries.sample(min(1.0, SAMPLE_ROWS / n), seed=7).select("v").limit(SAMPLE_ROWS * 5 // 4).toArrow() if n else None
-    points = np.concatenate([_matrix(c) for c in sample.column("v").chunks if len(c)])
-    centres = fit_centroids(points, min(MOST_CENTROIDS, max(1, n // PER_CENTROID)))
-    graph = vectors.sparkSession.sparkContext.broadcast(CentroidGraph(centres))  # at most MOST_CENTROIDS vectors
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                lists = choose_lists(graph.value, _matrix(some.column("v")))
-                take = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists).astype(np.int32)), *[some.column(c).take(pa.array(take)) for c in ("v", "ids")]], names=["list", "v", "ids"])
-
-    id_type = vectors.schema[id_col].dataType.simpleString()
-    postings = entries.select("v", "ids").mapInArrow(assign, f"list int, v array<double>, ids array<{id_type}>")
+    index = build_index(entries, k, id_type)
     # Large lists go to parts of at most about LIST_ROWS; the number of parts is counted.
-    postings = written(postings.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(2**31)).cast("int")), "ann-postings")
+    postings = index.assigned.select(F.explode("lists").alias("list"), "v", "ids")
     parts = written(postings.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("parts")), "ann-parts")
-    postings = postings.join(F.broadcast(parts), "list").select("list", (F.col("salt") % F.col("parts")).alias("part"), "v", "ids")  # at most MOST_CENTROIDS rows
+    salt = F.pmod(F.xxhash64("v"), F.lit(2**31)).cast("int")
+    postings = postings.join(F.broadcast(parts), "list").select("list", (salt % F.col("parts")).alias("part"), "v", "ids")  # at most MOST_CENTROIDS rows
 
     queries = written(rows.where(is_query).select("id", "v"), "ann-queries")
     asked = queries.groupBy("v").agg(F.min("id").alias("qid"))
-
-    probes = max(PROBES, int(len(centres) * PROBE_SHARE))
+    shared, ratio, probes = vectors.sparkSession.sparkContext.broadcast(index.graph), index.ratio, index.probes
+    step = max(8, 200_000 // (9 * probes))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                places, dist = graph.value.search(_matrix(some.column("v")), probes)
-                keep = (places >= 0) & (dist <= RATIO * dist[:, :1] + 1e-9)
+            for at in range(0, batch.num_rows, step):
+                some = batch.slice(at, step)
+                places, dist = shared.value.search(_matrix(some.column("v")), probes)
+                keep = (places >= 0) & (dist <= ratio * dist[:, :1] + 1e-9)
                 take, col = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(places[take, col].astype(np.int32)), *[some.column(c).take(pa.array(take)) for c in ("v", "qid")]], names=["list", "v", "qid"])
 
@@ -205,12 +263,13 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
         if len(left) and len(right):
             vs, ids = np.stack(left["v"].to_numpy()), left["ids"].to_numpy()
             smallest = np.array([x[0] for x in ids])
+            m = min(len(vs), k + 1)
             for at in range(0, len(right), 256):
                 some = right.iloc[at : at + 256]
                 d2 = _nearest(np.stack(some["v"].to_numpy()), vs)
-                m = min(len(vs), k + 8)
-                for q, qv, row in zip(some["qid"], some["v"], d2, strict=True):
-                    near = np.argpartition(row, m - 1)[:m]
+                last = np.partition(d2, m - 1, axis=1)[:, m - 1]  # and what ties with it
+                for q, qv, row, far in zip(some["qid"], some["v"], d2, last, strict=True):
+                    near = np.flatnonzero(row <= far * (1 + 1e-9) + 1e-9)
                     exact = np.sqrt(((vs[near] - qv) ** 2).sum(1))
                     order = np.lexsort((smallest[near], exact))[: k + 1]
                     out += [(q, float(exact[o]), i) for o in order for i in ids[near[o]]]

@@ -195,6 +195,41 @@ def test_kneser_ney_by_hand(spark):
         assert abs(model.score([text])[0][0] - want) < 1e-4
 
 
+def test_thresholds_and_decisions_by_hand(spark):
+    """Scores, thresholds and keep of every document, from the model and plain arithmetic."""
+    docs, labels = (spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.where("lang is null or lang <> 'xx'")
+    trusted = quality_classifier.trusted_ids(labels)
+    model, chosen = quality_classifier.fit_model(docs, trusted)
+    held_ids = {r["id"] for r in trusted.collect()} - {r["id"] for r in chosen.collect()}
+    rows = docs.collect()
+    nll, n = model.score([r["text"] for r in rows])
+    langs = {r["lang"] for r in rows}
+    held = {lang: [i for i, r in enumerate(rows) if r["lang"] == lang and r["doc_id"] in held_ids] for lang in langs}
+    mean = {lang: nll[at].sum() / (n[at] + 1).sum() for lang, at in held.items() if at}
+    at_all = [i for at in held.values() for i in at]
+    whole = nll[at_all].sum() / (n[at_all] + 1).sum()
+    score = [(nll[i] + 20 * mean.get(r["lang"], whole)) / (n[i] + 21) for i, r in enumerate(rows)]
+    quantile = lambda x: sorted(x)[math.ceil(0.99 * len(x)) - 1]
+    every, above = quantile([score[i] for i in at_all]), quantile([score[i] - mean[rows[i]["lang"]] for i in at_all])
+    limit = {}
+    for lang, at in held.items():
+        own, part = quantile([score[i] for i in at]) if at else every, min(1, len(at) / 100)
+        limit[lang] = part * own + (1 - part) * max(mean[lang] + above * math.sqrt(1 + 1 / len(at)), own) if at else every
+    got = {r["doc_id"]: r for r in quality_classifier.classify(docs, labels).collect()}
+    for i, r in enumerate(rows):
+        assert math.isclose(got[r["doc_id"]]["score"], score[i], rel_tol=1e-6)
+        assert math.isclose(got[r["doc_id"]]["threshold"], math.exp(limit[r["lang"]]), rel_tol=1e-6)
+        if abs(score[i] - limit[r["lang"]]) > 1e-6:
+            assert got[r["doc_id"]]["keep"] == (score[i] <= limit[r["lang"]])
+
+
+def test_sample_is_bounded_by_words(spark):
+    docs = spark.createDataFrame([(i, "a b c d " * (1 + 50 * (i == 3)), "en") for i in range(40)], "doc_id bigint, text string, lang string")
+    _, chosen = quality_classifier.fit_model(docs, spark.range(40).toDF("id"), sample_words=60)
+    assert 0 < 4 * chosen.count() <= 60 and 3 not in {r["id"] for r in chosen.collect()}
+
+
 def test_classifier_edges(spark, corpus):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(3, 0, 1), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     df = corpus[0].withColumn("score", F.lit("mine"))
@@ -223,6 +258,36 @@ def test_neighbours(spark):
     assert hits / total >= 0.9
 
 
+def read_share(index, k=10):
+    """The part of the entries that sampled queries compare, and how many lists entries have."""
+    rows = index.assigned.collect()
+    points, lists = np.array([r["v"] for r in rows]), [r["lists"] for r in rows]
+    sizes = np.bincount(np.concatenate(lists), minlength=len(index.graph.centres))
+    d = np.sqrt(ann._nearest(points[::50], index.graph.centres))
+    return float(((d <= index.ratio * d.min(1, keepdims=True)) * sizes).sum(1).mean() / len(points)), np.array([len(x) for x in lists])
+
+
+def test_index_reads_little_of_clustered_vectors(spark):
+    """50,000 vectors in clusters: a minority is replicated, queries compare below a tenth, and
+    nine tenths of the neighbours are found."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(400, 16))
+    points = centres[rng.integers(0, 400, 50_000)] + 0.25 * rng.normal(size=(50_000, 16))
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id bigint, embedding array<double>").repartition(4)
+    index = ann.build_index(df.select(F.col("embedding").alias("v"), F.array("vec_id").alias("ids")), 10, "bigint")
+    share, copies = read_share(index)
+    assert share < 0.1 and (copies > 1).mean() < 0.45
+    got = collections.defaultdict(set)
+    for r in ann.search(df, F.col("id") % 500 == 0).collect():
+        got[r["query_id"]].add(r["id"])
+    hits = 0
+    for q in range(0, 50_000, 500):
+        d = ((points - points[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits / 1000 >= 0.9
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [0.0, 2.0]), (2, None), (3, []), (4, [float("nan"), 1.0]), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]), (8, [-1.0, 0.0]), (8, [-1.0, 0.0]), (200, [float("inf"), 1.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
