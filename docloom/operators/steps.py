@@ -39,24 +39,24 @@ def _text(config: dict, *names: str, default: str | None = None) -> str:
     for name in names:
         if name in config:
             if not isinstance(config[name], str):
-                raise OperationError(f"{name} must be a string")
+                raise OperationError(f"{name}: text is needed")
             return config[name]
     if default is None:
-        raise OperationError(f"{names[0]} must be a string")
+        raise OperationError(f"{names[0]}: text is needed")
     return default
 
 
 def _path(config: dict, *names: str) -> str:
     path = _text(config, *names)
     if not paths.parts(path):
-        raise OperationError(f"{names[0]} must not be empty")
+        raise OperationError(f"{names[0]}: a path is needed")
     return path
 
 
 def _names(config: dict, name: str) -> list[str]:
     value = config.get(name)
     if not isinstance(value, list) or not all(isinstance(x, str) for x in value):
-        raise OperationError(f"{name} must be an array of strings")
+        raise OperationError(f"{name}: a list of field names is needed")
     return list(dict.fromkeys(value))
 
 
@@ -72,7 +72,7 @@ def filter_(config: dict) -> Transform:
     field = _path(config, "field")
     exists = config.get("exists")
     if "exists" in config and not isinstance(exists, bool):
-        raise OperationError("exists must be a boolean")
+        raise OperationError("exists: true or false is needed")
 
     def run(rows: Rows) -> Rows:
         found = paths.find(rows.df.schema, field)
@@ -89,7 +89,7 @@ def map_(config: dict) -> Transform:
     """{mapping: {target: source}}: new records of the sources that exist."""
     mapping = config.get("mapping")
     if not isinstance(mapping, dict) or not all(isinstance(v, str) for v in mapping.values()):
-        raise OperationError("mapping must be an object of paths")
+        raise OperationError("mapping: target fields with source paths are needed")
 
     def run(rows: Rows) -> Rows:
         tree: dict[str, Any] = {}
@@ -197,7 +197,7 @@ def type_convert(config: dict) -> Transform:
     numbers become booleans by being other than 0; a missing field is added as null."""
     field, target = _path(config, "field"), config.get("target")
     if target not in ("string", "number", "boolean", "null"):
-        raise OperationError(f"Unsupported target type: {target}")
+        raise OperationError(f"cannot convert to {target!r}")
 
     def run(df: DataFrame) -> DataFrame:
         found = paths.find(df.schema, field)
@@ -363,7 +363,7 @@ def join(config: dict) -> Transform:
     left_key, right_key, name = _path(config, "leftKey"), _path(config, "rightKey"), _text(config, "as", default="joined")
     right = config.get("right")
     if not isinstance(right, (list, str)) or isinstance(right, list) and not all(isinstance(r, dict) for r in right):
-        raise OperationError("right must be an array of objects or the name of a table")
+        raise OperationError("right: a list of records or the name of a table is needed")
 
     def run(rows: Rows) -> Rows:
         if right == []:
@@ -394,7 +394,7 @@ def aggregate(config: dict) -> Transform:
     and max: of numbers only, summed exactly; none gives null."""
     operation, field = config.get("operation"), _text(config, "field", default="") or None
     if operation not in ("count", "sum", "avg", "min", "max"):
-        raise OperationError(f"Unsupported aggregate operation: {operation}")
+        raise OperationError(f"no aggregate called {operation!r}")
 
     def run(rows: Rows) -> Rows:
         found = paths.find(rows.df.schema, field) if field else None

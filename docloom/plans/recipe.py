@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import re
 from dataclasses import dataclass, field, replace
 from typing import Any
 
@@ -43,20 +42,20 @@ class Recipe:
         try:
             doc = json.loads(text.removeprefix("﻿"))
         except ValueError as e:
-            raise RecipeError(f"Pipeline is not JSON: {e}") from e
+            raise RecipeError(f"a recipe is JSON text, which this isn't: {e}") from e
         if not isinstance(doc, dict):
-            raise RecipeError("Pipeline must be a JSON object")
+            raise RecipeError("a recipe is an object with version and steps")
         if isinstance(doc.get("version"), bool) or doc.get("version") not in (VERSION, str(VERSION)) or not isinstance(doc.get("steps"), list):
-            raise RecipeError("Unsupported pipeline definition")
+            raise RecipeError(f"version {VERSION} and a list of steps are needed, got version {doc.get('version')!r}")
         steps = []
         for i, s in enumerate(doc["steps"]):
             if not isinstance(s, dict):
-                raise RecipeError(f"Step {i} must be an object")
+                raise RecipeError(f"step {i}: not an object but {type(s).__name__}")
             if not (isinstance(s.get("id"), str) and isinstance(s.get("type"), str) and isinstance(s.get("enabled"), bool) and isinstance(s.get("config"), dict)):
-                raise RecipeError(f"Step {i} has invalid fields")
+                raise RecipeError(f"step {i}: needs texts id and type, a boolean enabled and an object config")
             hint = s.get("execution")
             if "execution" in s and not (isinstance(hint, dict) and isinstance(hint.get("kind"), str)):
-                raise RecipeError(f"Step {i} has invalid execution metadata")
+                raise RecipeError(f"step {i}: execution needs a text kind")
             steps.append(Step(s["id"], s["type"], s["config"], s["enabled"], hint))
         return cls(tuple(steps))
 
@@ -111,26 +110,49 @@ class History:
         return self._edited([replace(s, enabled=enabled) if i == at else s for i, s in enumerate(self.present.steps)])
 
 
-def suggest(prompt: str) -> tuple[Recipe, str]:
-    """A recipe from a plain request, to be confirmed by the user, and a note on it. Filters
-    come first, then pick, remove and sort, whatever the order of the words."""
-    text, steps = prompt.strip(), []
+#: The words that open a clause of a request, and the step that each stands for.
+VERBS = {"filter": "filter", "where": "filter", "only": "filter", "pick": "pick", "keep": "pick", "select": "pick", "remove": "remove", "drop": "remove", "without": "remove", "sort": "sort", "order": "sort", "distinct": "distinct", "unique": "distinct"}
+#: Words that carry nothing, and those that end a clause.
+FILLERS, BREAKS = {"by", "on", "where", "field", "fields", "column", "columns", "the", "records", "rows", "of", "a", "is"}, {"and", "then", ";"}
+DESCENDING = {"desc", "descending", "down", "largest", "latest"}
 
-    def scan(pattern: str) -> re.Match | None:
-        return re.search(pattern, text, re.IGNORECASE)
 
-    if m := scan(r"\bfilter\s+(?:where\s+)?([\w.-]+)\s*(?:=|\bequals\b)\s*([^\s,]+)"):
-        try:
-            value = json.loads(m[2].lower() if m[2].lower() in ("true", "false", "null") else m[2])
-        except ValueError:
-            value = m[2]
-        steps.append(("filter", {"field": m[1], "equals": value}))
-    if m := scan(r"\b(?:pick|keep)\s+(?:fields?\s+)?([\w.-]+(?:[\s,]+(?!(?:and|then|sort|remove|drop|filter)\b)[\w.-]+)*)"):
-        steps.append(("pick", {"fields": [f for f in re.split(r"[\s,]+", m[1]) if f]}))
-    if m := scan(r"\b(?:remove|drop)\s+(?:field\s+)?([\w.-]+)"):
-        steps.append(("remove", {"fields": [m[1]]}))
-    if m := scan(r"\bsort\s+(?:by|on)\s+([\w.-]+)(?:\s+(asc|desc))?"):
-        steps.append(("sort", {"key": m[1], "direction": (m[2] or "asc").lower()}))
-    if not steps:
-        return Recipe(), "No operation was recognised. Try: filter active = true, pick id name, or sort by created desc."
-    return Recipe(tuple(Step(f"{kind}-1", kind, config) for kind, config in steps)), f"{len(steps)} steps; review before applying."
+def _value(word: str) -> Any:
+    try:
+        return json.loads(word.lower() if word.lower() in ("true", "false", "null") else word)
+    except ValueError:
+        return word.strip("'\"")
+
+
+def _clause(kind: str, words: list[str]) -> tuple[str, dict[str, Any]] | None:
+    """One step of a verb's words; None if they say too little."""
+    if kind == "filter":
+        if len(words) < 3 or words[1] not in ("=", "==", "equals"):
+            return None
+        return kind, {"field": words[0], "equals": _value(words[2])}
+    if kind in ("pick", "remove"):
+        return (kind, {"fields": list(dict.fromkeys(words))}) if words else None
+    if not words:
+        return None
+    if kind == "sort":
+        return kind, {"key": words[0], "direction": "desc" if DESCENDING & {w.lower() for w in words[1:]} else "asc"}
+    return kind, {"key": words[0]}
+
+
+def suggest(prompt: str) -> tuple[Recipe, str]:
+    """A recipe from a plain request, for the user to confirm, and a note on it. A request is
+    read word by word: a verb opens a clause, which lasts to the next verb, and each clause
+    is one step, in the order they are written."""
+    words = prompt.replace(",", " ").replace(";", " ; ").replace("=", " = ").replace("=  =", "==").split()
+    clauses: list[tuple[str, list[str]]] = []
+    for word in words:
+        low = word.lower()
+        if low in VERBS and not (clauses and low in FILLERS and not clauses[-1][1]):
+            clauses.append((VERBS[low], []))
+        elif clauses and low not in BREAKS and not (low in FILLERS and not clauses[-1][1]):
+            clauses[-1][1].append(word)
+    found = [_clause(*c) for c in clauses]
+    steps = tuple(Step(f"{c[0]}-{i}", *c) for i, c in enumerate((c for c in found if c), 1))
+    missed = sum(c is None for c in found)
+    note = f"Understood {len(steps)} of {len(found)} clauses." if found else f"Nothing understood; a clause begins with one of: {', '.join(VERBS)}."
+    return Recipe(steps), note + (" Check the steps before running them." if steps and not missed else "")
