@@ -13,9 +13,11 @@ ratio by which FOUND of their true neighbours are in lists within it. So cluster
 have few lists read, and vectors without clusters as many as they need.
 
 Equal vectors are one entry: it keeps the smallest k + 1 ids, as no answer can need more,
-so a vector that a third of all rows share is one candidate and one query. A posting list
-of more than `LIST_ROWS` entries is divided into parts, all of which a query visits: no
-entry is dropped. What is broadcast is the graph: at most MOST_CENTROIDS vectors.
+so a vector that a third of all rows share is one candidate and one query. Lists lie in
+regions of about REGION_ROWS postings, neighbouring lists together; a longer list is dealt to
+several regions, all of which its queries visit: no entry is dropped. A query first visits
+the region of its nearest list, and takes from its other regions only what is no farther than
+the last of its k best so far. What is broadcast is the graph: at most MOST_CENTROIDS vectors.
 
 Defined cases: vectors that are null, zero, of another length than most, or that hold null
 or non-finite components take no part; ties go to the smaller id; with fewer than k
@@ -44,8 +46,8 @@ PER_CENTROID, BOUNDARY, REPLICAS, CLOSURE = 48, 0.3, 3, 1.25
 #: Sampled vectors that the ratio of queries is measured with, and the part of their true
 #: neighbours that must be in the lists they then read.
 QUERIES, FOUND = 256, 0.96
-#: Rows of a part of a posting list that one call ranks.
-LIST_ROWS = 4_096
+#: Postings of a region, which one call ranks.
+REGION_ROWS = 16_384
 
 
 def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -219,6 +221,17 @@ def build_index(entries: DataFrame, k: int, id_type: str) -> Index | None:
     return Index(assigned, graph, closure, *_measured_ratio(assigned, graph, k))
 
 
+def _regions(counts: pa.Table, lists: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each list the first of its regions and their number; short neighbours share one."""
+    size = np.zeros(lists, np.int64)
+    size[counts.column("list").to_numpy()] = counts.column("count").to_numpy()
+    parts = np.maximum(1, -(-size // REGION_ROWS))
+    first = np.cumsum(np.where(parts == 1, size, 0)) // REGION_ROWS
+    long = np.flatnonzero(parts > 1)
+    first[long] = first.max(initial=0) + 1 + np.concatenate([[0], np.cumsum(parts[long])[:-1]]) if len(long) else first[long]
+    return first, parts
+
+
 def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, id, score) for the rows where `is_query` holds, against all others."""
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -235,47 +248,62 @@ def search(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", ve
     ranked = rows.withColumn("r", F.dense_rank().over(Window.partitionBy("h", "v").orderBy("id"))).where(F.col("r") <= k + 1)
     entries = written(ranked.groupBy("h", "v").agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.col("h").alias("entry"), "v", "ids"), "ann-entries")
     index = build_index(entries, k, id_type)
-    # Large lists go to parts of at most about LIST_ROWS; the number of parts is counted.
+    spark, graph, ratio, probes = vectors.sparkSession, index.graph, index.ratio, index.probes
     postings = index.assigned.select(F.explode("lists").alias("list"), "v", "ids")
-    parts = written(postings.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("parts")), "ann-parts")
-    salt = F.pmod(F.xxhash64("v"), F.lit(2**31)).cast("int")
-    postings = postings.join(F.broadcast(parts), "list").select("list", (salt % F.col("parts")).alias("part"), "v", "ids")  # at most MOST_CENTROIDS rows
+    first, parts = _regions(postings.groupBy("list").count().toArrow(), len(graph.centres))  # at most MOST_CENTROIDS rows
+    places = F.broadcast(spark.createDataFrame(pd.DataFrame({"list": np.arange(len(first), dtype=np.int32), "first": first, "parts": parts})))
+    postings = postings.join(places, "list").select((F.col("first") + F.pmod(F.xxhash64("v"), F.col("parts"))).cast("int").alias("region"), "list", "v", "ids")
+    postings = written(postings, "ann-postings")
 
     queries = written(rows.where(is_query).select("id", "v"), "ann-queries")
     asked = queries.groupBy("v").agg(F.min("id").alias("qid"))
-    shared, ratio, probes = vectors.sparkSession.sparkContext.broadcast(index.graph), index.ratio, index.probes
+    shared = spark.sparkContext.broadcast((graph, first, parts))
     step = max(8, 200_000 // (9 * probes))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, first, parts = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, step):
-                some = batch.slice(at, step)
-                places, dist = shared.value.search(_matrix(some.column("v")), probes)
-                keep = (places >= 0) & (dist <= ratio * dist[:, :1] + 1e-9)
-                take, col = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(places[take, col].astype(np.int32)), *[some.column(c).take(pa.array(take)) for c in ("v", "qid")]], names=["list", "v", "qid"])
-
-    routed = asked.mapInArrow(route, f"list int, v array<double>, qid {id_type}").join(F.broadcast(parts), "list")
-    routed = routed.select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "v", "qid")
+                some, out = batch.slice(at, step), []
+                near, dist = graph.search(_matrix(some.column("v")), probes)
+                for i, (row, d) in enumerate(zip(near, dist, strict=True)):
+                    lists = row[(row >= 0) & (d <= ratio * d[0] + 1e-9)]
+                    by_region: dict[int, list[int]] = {}
+                    for one in lists.tolist():
+                        for r in range(first[one], first[one] + parts[one]):
+                            by_region.setdefault(r, []).append(one)
+                    out += [(r, own, i, k == 0) for k, (r, own) in enumerate(by_region.items())]
+                region, lists, take, nearest = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(region, pa.int32()), pa.array(lists, pa.list_(pa.int32())), pa.array(nearest), *[some.column(c).take(pa.array(take)) for c in ("v", "qid")]], names=["region", "lists", "nearest", "v", "qid"])
+
+    routed = written(asked.mapInArrow(route, f"region int, lists array<int>, nearest boolean, v array<double>, qid {id_type}"), "ann-routed")
+
+    whole = id_type in ("tinyint", "smallint", "int", "bigint")
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            vs, ids = np.stack(left["v"].to_numpy()), left["ids"].to_numpy()
+            left = left.sort_values("list", kind="stable")
+            vs, ids, lists = np.stack(left["v"].to_numpy()), left["ids"].to_numpy(), left["list"].to_numpy()
             smallest = np.array([x[0] for x in ids])
-            m = min(len(vs), k + 1)
-            for at in range(0, len(right), 256):
-                some = right.iloc[at : at + 256]
-                d2 = _nearest(np.stack(some["v"].to_numpy()), vs)
-                last = np.partition(d2, m - 1, axis=1)[:, m - 1]  # and what ties with it
-                for q, qv, row, far in zip(some["qid"], some["v"], d2, last, strict=True):
-                    near = np.flatnonzero(row <= far * (1 + 1e-9) + 1e-9)
-                    exact = np.sqrt(((vs[near] - qv) ** 2).sum(1))
-                    order = np.lexsort((smallest[near], exact))[: k + 1]
-                    out += [(q, float(exact[o]), i) for o in order for i in ids[near[o]]]
-        return pd.DataFrame(out, columns=["qid", "score", "id"]).astype({"score": "float64"} | ({} if out else {"qid": "int64", "id": "int64"}))
-
-    hits = postings.groupBy("list", "part").cogroup(routed.groupBy("list", "part")).applyInPandas(rank, f"qid {id_type}, score double, id {id_type}")
+            for q, qv, own, far in zip(right["qid"], right["v"], right["lists"], right["far"], strict=True):
+                begin, end = np.searchsorted(lists, own, "left"), np.searchsorted(lists, own, "right")
+                at = np.concatenate([np.arange(a, b) for a, b in zip(begin, end, strict=True)])
+                at = at[np.unique(smallest[at], return_index=True)[1]]  # of replicas one
+                exact = np.sqrt(((vs[at] - qv) ** 2).sum(1))
+                order = np.lexsort((smallest[at], exact))[: k + 1]
+                found = [(float(exact[o]), i) for o in order if not exact[o] > far for i in ids[at[o]]]
+                last = sorted(found)[k][0] if len(found) > k else np.inf
+                out += [(q, score, i, last) for score, i in found]
+        return pd.DataFrame(out, columns=["qid", "score", "id", "far"]).astype({"score": "float64", "far": "float64"} | ({} if out else dict.fromkeys(("qid", "id"), "int64" if whole else "object")))
+
+    def ranked_in(some: DataFrame) -> DataFrame:
+        return postings.groupBy("region").cogroup(some.groupBy("region")).applyInPandas(rank, f"qid {id_type}, score double, id {id_type}, far double")
+
+    near = written(ranked_in(routed.where("nearest").withColumn("far", F.lit(float("inf")))), "ann-near")
+    far = near.groupBy("qid").agg(F.min("far").alias("far"))
+    rest = routed.where("not nearest").join(far, "qid", "left").withColumn("far", F.coalesce("far", F.lit(float("inf"))))
+    hits = near.unionByName(ranked_in(rest)).drop("far")
     # Of each distinct query vector the best k + 1, as the query's own row is among them.
     best = hits.groupBy("qid", "id").agg(F.min("score").alias("score"))
     best = best.withColumn("r", F.row_number().over(Window.partitionBy("qid").orderBy("score", "id"))).where(F.col("r") <= k + 1).select("qid", "id", "score")

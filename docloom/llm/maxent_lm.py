@@ -8,9 +8,9 @@ with as many digits as give the class's words leaves of their own, DEPTH at most
 still share a leaf have it in proportion to their counts. So every softmax is small, and the
 probabilities of all known words and of "unknown" sum to 1.
 
-All softmaxes have the same hashed indicator features: the previous token, the one before it
-(a skip) and both (an n-gram), joined with the class and the digits so far. They share one
-table of weights, whose number of buckets grows with the training tokens up to a bound, and
+The softmaxes have hashed indicator features: the previous token, the one before it (a skip,
+for classes only) and both (an n-gram), joined with the class and the digits so far. They
+share one table of weights, whose number of buckets grows with the training tokens up to a bound, and
 start from the counts alone. Training is one pass in rounds: in a round every task updates a
 copy of the weights by gradient steps over its blocks, and the changes of all tasks are
 averaged by how often each bucket was seen. In training a token's own occurrence is left out
@@ -40,9 +40,9 @@ from pyspark.sql import functions as F
 from .common import written
 
 #: Characters of text in a block; words that a shard takes; tokens of a gradient step.
-BLOCK_CHARS, SHARD_WORDS, MOST_SHARDS, STEP_TOKENS = 8_000_000, 400_000, 4_096, 16_384
+BLOCK_CHARS, SHARD_WORDS, MOST_SHARDS, STEP_TOKENS = 8_000_000, 400_000, 4_096, 4_096
 #: Branches of a softmax (a class, or a digit of a hash), digits at most, bits of a digit.
-WAYS, DEPTH, DIGIT = 32, 3, 5
+WAYS, DEPTH, DIGIT = 32, 2, 5
 #: Buckets of weights: a power of two, one for so many training tokens, between these.
 TOKENS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1_024, 1 << 14, 1 << 17
 #: Rounds of training, characters of text that one task trains on in a round, step size.
@@ -129,18 +129,21 @@ class Model:
 
     def __init__(self, tree: Tree, weights: np.ndarray) -> None:
         self.tree, self.weights = tree, weights
-        self.shift = np.uint64(64 - int(len(weights)).bit_length() + 1)
+        #: Each level has a part of the table to itself.
+        self.part = len(weights) // (DEPTH + 1)
+        self.shift = np.uint64(64 - self.part.bit_length() + 1)
 
     def buckets(self, context: np.ndarray, level: int, nodes: np.ndarray) -> np.ndarray:
+        if level:
+            context = context[::2]
         mixed = (context ^ ((nodes.astype(np.uint64) + np.uint64(level << 40)) * SECOND)) * FIRST
-        return (mixed >> self.shift).astype(np.int64)
+        return (mixed >> self.shift).astype(np.int64) + level * self.part
 
     def _softmax(self, buckets: np.ndarray, level: int, nodes: np.ndarray) -> np.ndarray:
-        z = self.weights[buckets[0]]
-        z += self.weights[buckets[1]]
-        z += self.weights[buckets[2]]
-        z += self.tree.bias[level][nodes]
-        z -= z.max(1, keepdims=True)
+        z = self.tree.bias[level].take(nodes, axis=0)
+        for one in buckets:
+            z += self.weights.take(one, axis=0)
+        np.minimum(z, 60, out=z)  # biases are at most 0, so only runaway weights reach that
         np.exp(z, out=z)
         z /= z.sum(1, keepdims=True)
         return z
@@ -164,13 +167,25 @@ class Model:
             buckets = self.buckets(context[:, at], level, nodes)
             g = self._softmax(buckets, level, nodes)
             g[np.arange(len(at)), branch] -= 1
-            flat = buckets.ravel()
-            order = np.argsort(flat, kind="stable")
-            first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-            used = flat[order[first]]
-            sums = np.add.reduceat(g[order % len(at)], first, axis=0)
-            seen[used] += np.diff(first, append=len(order))
-            self.weights[used] -= (rate / np.sqrt(1 + 8 * seen[used]))[:, None].astype(np.float32) * sums
+            flat = buckets.ravel().astype(np.int32)
+            order = np.argsort(flat)
+            ranked, rows = flat[order], order % len(at)
+            first = np.flatnonzero(np.diff(ranked, prepend=-1))
+            size = np.diff(first, append=len(order))
+            many = size > 1
+            for alone in (True, False):  # most buckets are met once in a step
+                begin, n = first[many ^ alone], size[many ^ alone]
+                if not len(begin):
+                    continue
+                if alone:
+                    sums = g.take(rows[begin], axis=0)
+                else:
+                    ends = np.cumsum(n)
+                    sums = np.add.reduceat(g.take(rows[np.arange(ends[-1]) + np.repeat(begin - ends + n, n)], axis=0), ends - n, axis=0)
+                used = ranked[begin]
+                seen[used] += n
+                sums *= (rate / np.sqrt(1 + 8 * seen[used]))[:, None].astype(np.float32)
+                self.weights[used] -= sums
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -361,7 +376,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     counted = written(answers, "lm-totals")
     tree = _tree(counted)
     blocks = texts.select("block", "ids", "sizes", "tokens", "words").join(counted.where("block >= 0"), "block")
-    blocks = written(blocks.withColumn("round", F.pmod(F.hash("block"), F.lit(rounds))), "lm-joined")
+    blocks = written(blocks.withColumn("round", F.pmod(F.xxhash64("block"), F.lit(rounds))), "lm-joined")
     n_train = tree.mass[0].sum()
     buckets = 1 << int(np.clip(n_train / TOKENS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS)).bit_length() - 1
     model = Model(tree, np.zeros((buckets, WAYS), np.float32))

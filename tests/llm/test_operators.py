@@ -377,7 +377,7 @@ def test_softmaxes_sum_to_one_over_all_words():
     words = rng.integers(0, 1 << 63, 700).astype(np.uint64)
     counts = np.concatenate([np.ones(400), rng.integers(2, 9, 250), rng.integers(100, 5000, 50)]).astype(np.int64)
     classes, codes = maxent_lm.token_class(counts).astype(np.int64), maxent_lm.leaf_code(words)
-    leaves, at = np.unique(classes << 15 | codes, return_inverse=True)
+    leaves, at = np.unique(classes << maxent_lm.DEPTH * maxent_lm.DIGIT | codes, return_inverse=True)
     tree = maxent_lm.Tree(leaves, np.bincount(at), np.bincount(at, counts).astype(np.int64), np.bincount(maxent_lm.token_class(counts - 1), counts, maxent_lm.WAYS))
     model = maxent_lm.Model(tree, rng.normal(size=(1 << 14, maxent_lm.WAYS)).astype(np.float32))
     for _ in range(3):
