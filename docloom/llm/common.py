@@ -58,12 +58,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def written(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+def written(df: DataFrame, name: str, lasting: bool = False, by: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage, and a lost
-    executor costs nothing that came before. What is `lasting` outlasts a `scratch`."""
+    executor costs nothing that came before. What is `lasting` outlasts a `scratch`. Rows
+    that differ `by` a column lie in folders of their own, so that a filter reads only its."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{'' if lasting else _folder.get()}{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 

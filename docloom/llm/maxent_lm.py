@@ -46,7 +46,7 @@ WAYS, DEPTH, DIGIT = 32, 2, 5
 #: Buckets of weights: a power of two, one for so many training tokens, between these.
 TOKENS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1_024, 1 << 14, 1 << 17
 #: Rounds of training, characters of text that one task trains on in a round, step size.
-ROUNDS, TASK_CHARS, RATE = 3, 64_000_000, 0.5
+ROUNDS, TASK_CHARS, RATE = 3, 48_000_000, 0.5
 #: The end of a text (no word is a space), and what stands for the tokens before a text.
 END, BEFORE = b" ", np.uint64(xxhash.xxh64_intdigest(b"\n"))
 FIRST, SECOND, THIRD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -350,8 +350,7 @@ def train_round(blocks: DataFrame, model: Model, tasks: int) -> Model:
             change = (own.weights[some] - start.weights[some]) * seen[some, None].astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some]), *[pa.array(np.ascontiguousarray(change[:, i])) for i in range(WAYS)]], names=["bucket", "seen", *columns])
 
-    dealt = blocks.repartition(tasks, "block")
-    changes = dealt.mapInArrow(run, f"bucket bigint, seen double, {', '.join(f'{c} float' for c in columns)}")
+    changes = blocks.coalesce(tasks).mapInArrow(run, f"bucket bigint, seen double, {', '.join(f'{c} float' for c in columns)}")
     table = changes.groupBy("bucket").agg(F.sum("seen").alias("seen"), *[F.sum(c).cast("float").alias(c) for c in columns]).toArrow()
     weights = model.weights.copy()
     if table.num_rows:
@@ -376,7 +375,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds:
     counted = written(answers, "lm-totals")
     tree = _tree(counted)
     blocks = texts.select("block", "ids", "sizes", "tokens", "words").join(counted.where("block >= 0"), "block")
-    blocks = written(blocks.withColumn("round", F.pmod(F.xxhash64("block"), F.lit(rounds))), "lm-joined")
+    blocks = written(blocks.withColumn("round", F.pmod(F.xxhash64("block"), F.lit(rounds)).cast("int")), "lm-joined", by="round")
     n_train = tree.mass[0].sum()
     buckets = 1 << int(np.clip(n_train / TOKENS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS)).bit_length() - 1
     model = Model(tree, np.zeros((buckets, WAYS), np.float32))

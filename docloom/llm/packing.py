@@ -35,6 +35,8 @@ from .common import written
 WINDOW, OPEN, SHORTEST, END_ID = 2048, 16, 8, 1
 #: Words whose ids a task remembers, and partitions whose open windows merge in one task.
 CACHE, FAN_IN = 700_000, 64
+#: Texts that must have the same ids split and whole, for a tokenizer to be split at all.
+PROBES = ("Hello, world.", "  two  spaces\tand\nlines\r\n", "don't stop... now", "naïve ÉTÉ straße", "x=1; y=[2,3]", "日本語 のテキスト", "A.B. C.,", " lead and trail ")
 CHUNK = re.compile(r"[^\t\n\x0b\x0c\r ]+")
 
 
@@ -55,6 +57,8 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        if split and any(self.encode([text]) != self._ids([text]) for text in PROBES):
+            raise ValueError("this tokenizer's ids depend on white space or on what is beside a word; set split to False")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]

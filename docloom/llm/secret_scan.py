@@ -7,11 +7,12 @@ many paths and versions hold it, and joins the findings back to all of them.
 
 Only DataFrame functions are used. Texts are reduced to one copy per blob before the
 shuffle where a task sees copies; findings are rows (blob, kind, start, end), so a very
-long text gives many small rows and no long array. Starts are summed over gaps and matches
-within a blob and kind.
+long text gives many small rows; only its kept spans come together again, in one array.
+Starts are summed over gaps and matches within a blob and kind.
 
 Defined cases: null text is the empty text; repeated rows share a blob and get its findings
-each; a blob without findings is in the ledger with none; an empty table scans nothing.
+each; a blob without findings is in the ledger with none; a column of the versions that is called
+like the one added is replaced; an empty table scans nothing.
 """
 
 from __future__ import annotations

@@ -12,7 +12,9 @@ its draw is found from sums over 4096 hash bins, and only the documents of the o
 the boundary are sorted.
 
 Defined cases: null text is empty; a null source is a source of its own, last in order;
-documents without words are taken zero times; repeated rows are documents of their own.
+documents without words are taken zero times; repeated rows are documents of their own; rows
+of one id are drawn in the order of their sizes and texts; columns that are called like those
+added (size, source_size, target, taken) are replaced.
 """
 
 from __future__ import annotations
@@ -79,7 +81,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share:
     i = lambda c: F.col(f"{info}.{c}")
     at_edge = F.coalesce(F.col(bin_) == i("edge"), F.lit(False))
     clear = joined.where(~at_edge).withColumn("taken", F.col("size") * (i("whole") + F.when(F.col(bin_) < F.coalesce(i("edge"), F.when(i("need") >= i("source_size"), BINS).otherwise(-1)), 1).otherwise(0)))
-    order = Window.partitionBy(source_col).orderBy(u, id_col, "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(source_col).orderBy(u, id_col, "size", F.xxhash64(text_col), text_col).rowsBetween(Window.unboundedPreceding, -1)
     left = i("need") - i("below") - F.coalesce(F.sum("size").over(order), F.lit(0))
     edge = joined.where(at_edge).withColumn("taken", F.col("size") * i("whole") + F.least(F.col("size"), F.greatest(left, F.lit(0))))
     out = clear.unionByName(edge)

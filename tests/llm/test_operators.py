@@ -518,6 +518,10 @@ def test_phrase_fingerprints(spark, corpus):
     assert got[4]["fingerprint"] == got[5]["fingerprint"]
     assert phrase_fingerprint.fingerprint_documents(corpus[0]).count() == len(corpus[1])
     assert phrase_fingerprint.fingerprint_documents(empty(spark)).count() == 0
+    named = df.withColumn("doc_id", F.format_string("k%06d", "doc_id"))
+    texts = {f"k{k:06d}": v for k, v in got.items()}
+    for r in phrase_fingerprint.fingerprint_documents(named).collect():
+        assert (r["near_next"], r["edited_sha256"]) == (texts[r["id"]]["near_next"], texts[r["id"]]["edited_sha256"])
     one = phrase_fingerprint.fingerprint_documents(df.where("doc_id = 3")).first()
     assert one["near_next"] == 1.0
 
@@ -558,3 +562,34 @@ def test_few_held_out_documents_reject_no_clean_language(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in labelled], "doc_id bigint, quality int, toxic int")
     kept = collections.Counter(r["lang"] for r in quality_classifier.classify(docs, labels).where("keep").collect())
     assert kept["xa"] >= 180 and kept["xb"] >= 190 and kept["en"] >= 780
+
+
+def test_fingerprints_follow_shifted_content():
+    """What is put before a text without spaces, or of many lines, changes little of it."""
+    rng = random.Random(2)
+    solid = "".join(rng.choice("abcdefghijklmnop") for _ in range(4000))
+    lines = "\n".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(1500))
+    for text in (solid, lines):
+        a, b = (phrase_fingerprint.signature(phrase_fingerprint.lz_phrases(t)) for t in (text, "x" + text))
+        assert phrase_fingerprint.likeness(a, b) > 0.6
+    assert phrase_fingerprint.lz_phrases("a" * 20_000)
+
+
+def test_null_ids_follow_in_buckets(spark, monkeypatch):
+    """Many null ids are dealt to buckets of their own and still follow one another."""
+    monkeypatch.setattr(phrase_fingerprint, "ROWS_PER_BUCKET", 8)
+    rows = [(i, f"text {i}") for i in range(40)] + [(None, f"nameless {i}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    order = sorted([r for r in rows if r[0] is not None], key=lambda r: -r[0])
+    hashed = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    order += sorted([r for r in rows if r[0] is None], key=lambda r: hashed[r[1]])
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + order[(i + 1) % 100][1][: len(t) // 2]).encode()).hexdigest() for i, (_, t) in enumerate(order))
+    assert sorted(r["edited_sha256"] for r in phrase_fingerprint.fingerprint_documents(df).collect()) == want
+
+
+def test_tokenizers_that_need_white_space_are_refused():
+    import public_tokenizers
+
+    packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    with pytest.raises(ValueError, match="split"):
+        packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
