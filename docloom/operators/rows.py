@@ -15,12 +15,14 @@ INDEX = f"{HIDDEN}idx"
 
 @dataclass(frozen=True)
 class Rows:
-    """`order` sorts the records; `sorted_by` counts the sorts that were put before the index."""
+    """`order` sorts the records; `sorted_by` counts the sorts that were put before the index;
+    rows that a step has `shuffled` are put in order again when they are shown."""
 
     df: DataFrame
     order: tuple[tuple[Column, bool], ...]  # with whether it descends
     sorted_by: int = 0
     tables: dict[str, DataFrame] | None = None
+    shuffled: bool = False
 
     @classmethod
     def of(cls, df: DataFrame, order: list[str] | None = None, tables: dict[str, DataFrame] | None = None) -> Rows:
@@ -40,14 +42,19 @@ class Rows:
 
     @property
     def visible(self) -> DataFrame:
-        return self.df.select(*[ref(c) for c in self.fields])
+        df = self.df.orderBy(*self.by()) if self.shuffled else self.df
+        return df.select(*[ref(c) for c in self.fields])
 
     def schema(self):
-        return self.visible.schema
+        return self.df.select(*[ref(c) for c in self.fields]).schema
 
     def with_df(self, df: DataFrame) -> Rows:
         return replace(self, df=df)
 
+    def scattered(self, df: DataFrame) -> Rows:
+        """`df`, which holds records with their hidden columns in any order."""
+        return replace(self, df=df, shuffled=True)
+
     def project(self, columns: list[Column]) -> Rows:
         """These columns, and the hidden ones."""
         return self.with_df(self.df.select(*columns, *self.hidden))
@@ -62,5 +69,5 @@ class Rows:
 
     def sort(self, keys: list[tuple[Column, bool]]) -> Rows:
         """`keys` go before the order so far, which decides ties."""
-        out = replace(self, order=(*keys, *self.order), sorted_by=self.sorted_by + 1)
+        out = replace(self, order=(*keys, *self.order), sorted_by=self.sorted_by + 1, shuffled=False)
         return out.with_df(self.df.orderBy(*out.by()))

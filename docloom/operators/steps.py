@@ -260,12 +260,12 @@ def distinct(config: dict) -> Transform:
         if rows.sorted_by:
             place = f"{HIDDEN}place"
             first = rows.df.withColumn(place, F.row_number().over(Window.partitionBy(*by).orderBy(*rows.by())))
-            return rows.with_df(first.where(F.col(place) == 1).drop(place))
+            return rows.scattered(first.where(F.col(place) == 1).drop(place))
         # By the index alone the first record is an aggregate, which sums up before it shuffles.
         index = rows.hidden[0]
         record = F.struct(*[ref(c) for c in rows.df.columns])
         first = rows.df.groupBy(*[c.alias(f"{HIDDEN}by{i}") for i, c in enumerate(by)]).agg(F.min_by(record, index).alias("r"))
-        return rows.with_df(first.select(*[F.col("r").getField(c).alias(c) for c in rows.df.columns]))
+        return rows.scattered(first.select(*[F.col("r").getField(c).alias(c) for c in rows.df.columns]))
 
     return run
 
@@ -284,7 +284,10 @@ def group(config: dict) -> Transform:
         text = F.lit("") if found is None else comparable(*found)
         name = F.when(text == "", UNDEFINED).otherwise(text).alias("group_key")
         if shape == "long":
-            return rows.project([name, *[ref(f) for f in rows.fields if f != "group_key"]])
+            kept = f"{HIDDEN}key{rows.sorted_by}"
+            rows = rows.with_df(rows.df.withColumn(kept, name))
+            grouped = rows.project([F.col(kept).alias("group_key"), *[ref(f) for f in rows.fields if f != "group_key"]])
+            return grouped.sort([(F.col(kept), False)])
         record = F.struct(*[ref(f) for f in rows.fields])
         if rows.sorted_by:
             place = F.row_number().over(Window.partitionBy(name).orderBy(*rows.by()))
@@ -292,7 +295,7 @@ def group(config: dict) -> Transform:
         else:
             ranked = rows.df.select(name, rows.hidden[0].alias("at"), record.alias("r"))
         pairs = F.array_sort(F.collect_list(F.struct("at", "r")), lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0))
-        return rows.one(ranked.groupBy("group_key").agg(F.transform(pairs, lambda p: p["r"]).alias("records")))
+        return rows.one(ranked.groupBy("group_key").agg(F.transform(pairs, lambda p: p["r"]).alias("records")).orderBy("group_key"))
 
     return run
 
@@ -383,7 +386,8 @@ def join(config: dict) -> Transform:
         table = table.groupBy(key).agg(F.max_by(name, at).alias(name))
         table = F.broadcast(table) if isinstance(right, list) else table
         left = rows.df.select(*[ref(c) for c in rows.df.columns if c != name])
-        return rows.with_df(left.join(table, own[0].eqNullSafe(F.col(key)), "left").select(*[ref(f) for f in rows.fields if f != name], name, *rows.hidden))
+        put = rows.with_df if isinstance(right, list) else rows.scattered  # a broadcast keeps the order
+        return put(left.join(table, own[0].eqNullSafe(F.col(key)), "left").select(*[ref(f) for f in rows.fields if f != name], name, *rows.hidden))
 
     return run
 

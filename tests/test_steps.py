@@ -30,6 +30,27 @@ def test_distinct_keeps_the_first(spark):
     assert late == [{"name": "a"}, {"name": "c"}]
 
 
+def test_records_keep_their_order(spark):
+    """Distinct, group and join give records in the input's order, or that of a sort before."""
+    df = spark.range(400).repartition(7, "id").selectExpr("id", "id % 11 AS k", "concat('n', id) AS name")
+    table = spark.range(11).selectExpr("id AS k", "id * 2 AS twice").repartition(5)
+    run = lambda *steps: [r.asDict() for r in run_recipe(df, Recipe.of(*steps), order=["id"], tables={"t": table}).collect()]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        down = ("sort", {"key": "id", "direction": "desc"})
+        assert [r["id"] for r in run(("distinct", {"key": "k"}))] == list(range(11))
+        assert [r["id"] for r in run(down, ("distinct", {"key": "k"}))] == list(range(399, 388, -1))
+        assert [r["id"] for r in run(("distinct", {}), ("remove", {"fields": ["name"]}))] == list(range(400))
+        assert [r["id"] for r in run(("join", {"leftKey": "k", "rightKey": "k", "right": "t"}))] == list(range(400))
+        assert [r["id"] for r in run(down, ("join", {"leftKey": "k", "rightKey": "k", "right": "t"}), ("pick", {"fields": ["id"]}))] == list(range(399, -1, -1))
+        grouped = run(down, ("group", {"key": "k"}), ("remove", {"fields": ["group_key"]}))
+        assert [r["id"] for r in grouped] == sorted(range(400), key=lambda i: (str(i % 11), -i))
+        nested = run(("group", {"key": "k", "shape": "nested"}))
+        assert [r["group_key"] for r in nested] == sorted(str(i) for i in range(11))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_filter_map_regex_convert(spark):
     got = rows(spark, PEOPLE, ("filter", {"field": "active", "equals": True}), ("map", {"mapping": {"identifier": "id", "label": "name"}}), ("regex", {"field": "label", "pattern": "^", "replacement": "item-"}), ("type-convert", {"field": "identifier", "target": "string"}))
     assert got == [{"identifier": "2", "label": "item-b"}, {"identifier": "2", "label": "item-c"}]
