@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.paths import member
+
 SCHEMA_URI = "https://json-schema.org/draft/2020-12/schema"
 
 
@@ -50,15 +52,20 @@ def field_stats(nodes: DataFrame, examples: int = 3) -> DataFrame:
     return out.select(F.col("key").alias("field"), "occurrences", (F.col("objects") - F.col("occurrences")).alias("missing"), "types", (F.size("types") > 1).alias("inconsistent"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 
 
-def infer_schema(nodes: DataFrame) -> DataFrame:
-    """Per generalised path: sorted types, count, and the example of the first string."""
+def infer_schema(nodes: DataFrame, examples: int = 3) -> DataFrame:
+    """Per generalised path: sorted types, count, the first string and the first distinct
+    ones. Keys that are no plain names are quoted in the path, so that no two paths meet."""
     good = nodes.where("error is null")
-    return good.groupBy("gpath").agg(
+    paths = good.groupBy("gpath").agg(
         F.array_sort(F.collect_set("type")).alias("types"),
         F.count("*").alias("n"),
         F.array_sort(F.collect_set("key")).alias("keys"),
         F.min_by("text", F.when(F.col("type") == "string", F.struct("id", "seq"))).alias("example"),
     )
+    texts = good.where("type = 'string'").groupBy("gpath", "text").agg(F.min(F.struct("id", "seq")).alias("at"))
+    first = texts.withColumn("r", F.row_number().over(Window.partitionBy("gpath").orderBy("at"))).where(F.col("r") <= examples)
+    first = first.groupBy("gpath").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]).alias("examples"))
+    return paths.join(first, "gpath", "left").withColumn("examples", F.coalesce("examples", F.array().cast("array<string>")))
 
 
 def json_schema(nodes: DataFrame) -> dict:
@@ -67,14 +74,16 @@ def json_schema(nodes: DataFrame) -> dict:
     rows = {r["gpath"]: r for r in infer_schema(nodes).select("gpath", "types", "keys").toLocalIterator()}
     if not rows:
         return {"$schema": SCHEMA_URI}
+    members: dict[str, list[str]] = {}
+    for path in sorted(rows):
+        if rows[path]["keys"]:
+            members.setdefault(path[: -len(member(rows[path]["keys"][0]))], []).append(path)
 
     def build(path: str) -> dict:
         types = list(rows[path]["types"])
         out: dict = {"type": types[0] if len(types) == 1 else types}
         if "object" in types:
-            prefix = f"{path}."
-            own = sorted(p for p in rows if p.startswith(prefix) and rows[p]["keys"] and p == prefix + rows[p]["keys"][0])
-            out["properties"] = {rows[p]["keys"][0]: build(p) for p in own}
+            out["properties"] = {rows[p]["keys"][0]: build(p) for p in members.get(path, [])}
         if "array" in types and f"{path}[*]" in rows:
             out["items"] = build(f"{path}[*]")
         return out

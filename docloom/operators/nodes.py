@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.paths import pointer
+from docloom.paths import member, pointer
 from docloom.semantics import compact
 
 FIELDS = ("seq bigint", "pointer string", "parent string", "gpath string", "depth int", "kind string", "key string", "type string", "raw string", "text string", "size int", "error string")
@@ -73,7 +73,7 @@ def walk(value: Any) -> Iterator[tuple]:
         yield seq, here, parent, gpath, len(path), kind if nested else "value", key, kind, None if nested else dump_json(v), v if kind == "string" else None, len(v) if nested else None, None
         seq += 1
         if isinstance(v, dict):
-            stack += [(x, [*path, k], here, f"{gpath}.{k}", k) for k, x in reversed(v.items())]
+            stack += [(x, [*path, k], here, gpath + member(k), k) for k, x in reversed(v.items())]
         elif isinstance(v, list):
             stack += [(x, [*path, i], here, f"{gpath}[*]", None) for i, x in reversed(list(enumerate(v)))]
 

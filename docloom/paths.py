@@ -101,12 +101,14 @@ def pointer_parts(text: str) -> list[str]:
     return [p.replace("~1", "/").replace("~0", "~") for p in text[1:].split("/")]
 
 
+def member(name: str) -> str:
+    """How a path goes on to a member of this name: `.name` or `["any key"]`."""
+    return f".{name}" if re.fullmatch(r"[A-Za-z_$][\w$]*", name) else f"[{json.dumps(name, ensure_ascii=False)}]"
+
+
 def json_path(path: list[str | int]) -> str:
     """`$.name`, `$["any key"]`, `$[0]`."""
     out = "$"
     for p in path:
-        if isinstance(p, int):
-            out += f"[{p}]"
-        else:
-            out += f".{p}" if re.fullmatch(r"[A-Za-z_$][\w$]*", p) else f"[{json.dumps(p, ensure_ascii=False)}]"
+        out += f"[{p}]" if isinstance(p, int) else member(p)
     return out

@@ -186,7 +186,7 @@ SQL: dict[str, str] = {
     "sql_top_k": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "sql_strings": "SELECT c_custkey, UPPER(SUBSTRING(c_name, 1, 4)) AS head, LENGTH(c_name) AS n, CONCAT(c_mktsegment, '-', c_name) AS label FROM customer WHERE c_mktsegment LIKE 'B%' OR c_mktsegment IN ('MACHINERY')",
     "sql_dates": "SELECT YEAR(o_orderdate) AS y, MONTH(o_orderdate) AS m, COUNT(*) AS n FROM orders GROUP BY YEAR(o_orderdate), MONTH(o_orderdate)",
-    "sql_asof": "SELECT a.event_id AS event_id, MAX(b.event_id) AS last_purchase FROM events a JOIN events b ON a.user_id = b.user_id AND b.event_type = 'purchase' AND b.event_id <= a.event_id GROUP BY a.event_id",
+    "sql_asof": "SELECT event_id, last_purchase FROM (SELECT event_id, MAX(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS last_purchase FROM events) AS e WHERE last_purchase IS NOT NULL",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 

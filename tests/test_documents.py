@@ -104,3 +104,18 @@ def test_apply_patches_reports_errors(spark):
 def test_render():
     html = tree_html(parse_json('{"name":"Ada <dev>","tags":["a","b"],"score":null,"n":1.0}'), {"/name": "replace"})
     assert "Ada &lt;dev&gt;" in html and "2 items" in html and 'class="diff-replace"' in html and "1.0" in html
+
+
+def test_paths_of_dotted_keys_stay_apart(spark):
+    """A key with a dot is another path than nested keys; three distinct examples are kept."""
+    from docloom.operators.insight import infer_schema, json_schema
+    from docloom.operators.nodes import node_table
+
+    docs = [(i, '{"a.b":%d,"a":{"b":"%s"},"list":[{"c":1}]}' % (i, "pqrpst"[i])) for i in range(6)]
+    nodes = node_table(spark.createDataFrame(docs, "id bigint, doc string"))
+    found = {r["gpath"]: r for r in infer_schema(nodes).collect()}
+    assert (found['$["a.b"]']["types"], found["$.a.b"]["types"], found["$.list[*].c"]["n"]) == (["number"], ["string"], 6)
+    assert found["$.a.b"]["examples"] == ["p", "q", "r"]
+    schema = json_schema(nodes)["properties"]
+    assert schema["a.b"] == {"type": "number"} and schema["a"]["properties"] == {"b": {"type": "string"}}
+    assert schema["list"]["items"]["properties"] == {"c": {"type": "number"}}

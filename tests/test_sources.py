@@ -145,3 +145,14 @@ def test_full_join_keeps_every_row(spark):
     assert sum(r["n"] for r in got if r["sn"] is not None) == suppliers
     assert sum(r["n"] for r in got if r["cn"] is not None) == customers
     assert any(r["sn"] is None for r in got) and any(r["cn"] is None for r in got)
+
+
+def test_sql_forms_and_views(spark):
+    from docloom.sql import query
+
+    df = spark.sql("SELECT 1 AS id, 'abc' AS name, timestamp'2024-03-05 06:07:08' AS at")
+    spark.sql("SELECT 'mine' AS x").createOrReplaceTempView("source")
+    row = query(df, "SELECT len(name) AS n, strftime(at, '%Y-%m') AS month, strftime(at, '%dT%H:%M') AS t FROM source").first()
+    assert tuple(row) == (3, "2024-03", "05T06:07")
+    assert spark.table("source").columns == ["x"]
+    spark.catalog.dropTempView("source")
