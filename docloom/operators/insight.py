@@ -7,7 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.paths import member
+from docloom.paths import member, ref
+from docloom.semantics import is_nested
 
 SCHEMA_URI = "https://json-schema.org/draft/2020-12/schema"
 
@@ -37,6 +38,23 @@ def array_lengths(nodes: DataFrame) -> DataFrame:
     return nodes.where("kind = 'array'").groupBy(F.col("size").alias("length")).agg(F.count("*").alias("n"))
 
 
+def property_counts(nodes: DataFrame) -> DataFrame:
+    """Property names, with how often each stands in a document."""
+    return nodes.where("key is not null").groupBy(F.col("key").alias("field")).agg(F.count("*").alias("n"))
+
+
+def event_count(nodes: DataFrame) -> DataFrame:
+    """One row: `events`, the steps of a walk that enters and leaves each container and meets
+    each property name and each primitive value."""
+    steps = F.when(F.col("kind") == "value", 1).otherwise(2) + F.col("key").isNotNull().cast("int")
+    return nodes.where("error is null").agg(F.coalesce(F.sum(steps), F.lit(0)).alias("events"))
+
+
+def top_fields(nodes: DataFrame, most: int = 40) -> DataFrame:
+    """The fields that occur most often, ties by name."""
+    return field_stats(nodes).orderBy(F.desc("occurrences"), "field").limit(most)
+
+
 def field_stats(nodes: DataFrame, examples: int = 3) -> DataFrame:
     """Per property name, at whatever depth: occurrences, missing (objects without it), the
     types of its primitive values, whether they are several, and its first examples."""
@@ -134,6 +152,15 @@ def search_records(df: DataFrame, query: str, regex: bool = False) -> DataFrame:
     return df.where(_matches(text, query, False))
 
 
+def sort_by_text(df: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Records by what a table shows in `column`: its text, or the compact JSON of nested
+    values, in order of code points; null is shown as `null`."""
+    value = ref(column)
+    text = F.to_json(value) if is_nested(df.schema[column].dataType) else value.cast("string")
+    shown = F.coalesce(text, F.lit("null"))
+    return df.orderBy(shown.desc() if descending else shown.asc())
+
+
 def embedded_json(df: DataFrame, column: str, most: int | None = 100) -> DataFrame:
     """Records whose text in `column` is itself a JSON object or array, as VARIANT `value`."""
     text = F.col(column)

@@ -11,6 +11,20 @@ ORACLES = {
     "filter_type_mismatch": "SELECT p_partkey FROM part WHERE false",
     "filter_exists": "SELECT event_id FROM events WHERE props IS NOT NULL",
     "filter_missing": "SELECT event_id FROM events WHERE props IS NULL",
+    "filter_exists_some": "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'",
+    "filter_missing_some": "SELECT o_orderkey FROM orders WHERE o_orderstatus IS NULL OR o_orderstatus = 'F'",
+    "generated_edits": r"SELECT p_partkey, CASE WHEN p_brand = 'Brand#1' THEN 'first' ELSE p_brand END AS p_brand, regexp_replace(p_name, '(\w)(\d+)', '\2-\1', 'g') AS p_name FROM part WHERE p_size IS NOT NULL",
+    "preview_mode": "SELECT o_orderkey, o_custkey FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 1000) WHERE o_orderstatus = 'F'",
+    "json_pages": "SELECT page_id, url AS at, page_id AS id FROM pages WHERE page_id % 3 = 0 AND page_id % 6 <> 0",
+    "sorted_by_text": "SELECT p_partkey FROM part ORDER BY CAST(p_partkey AS VARCHAR) LIMIT 100",
+    "nested_profile": "SELECT COUNT(*) AS documents, CAST(SUM(2 + (o_orderkey % 3 > 0)::INT) AS BIGINT) AS objects, COUNT(*) AS arrays, CAST(SUM(3 + o_orderkey % 3) AS BIGINT) AS primitives, 2 AS max_depth, CAST(SUM(2 * (3 + (o_orderkey % 3 > 0)::INT) + 3 + o_orderkey % 3 + 5 + (o_orderkey % 3 > 0)::INT) AS BIGINT) AS events FROM orders",
+    "nested_schema": """SELECT gpath, types, keys, n FROM (SELECT COUNT(*) AS every, COUNT(*) FILTER (o_orderkey % 3 > 0) AS filled, COUNT(*) FILTER (o_orderkey % 3 = 2) AS two FROM orders), LATERAL (VALUES ('$', 'object', '', every), ('$.id', 'number', 'id', every), ('$.customer', 'object', 'customer', every), ('$.customer.id', 'number', 'id', every), ('$.customer["a.b"]', 'string', 'a.b', every), ('$.items', 'array', 'items', every), ('$.items[*]', 'null,object', '', filled + two), ('$.items[*].n', 'number', 'n', filled)) AS v(gpath, types, keys, n)""",
+    "nested_index": "SELECT o_orderkey AS id, '$.items[*].n' AS gpath, 3 AS depth, 'number' AS type, CASE o_orderkey % 3 WHEN 1 THEN '1' ELSE '1.50' END AS raw FROM orders WHERE o_orderkey % 3 > 0",
+    "nested_lengths": "SELECT o_orderkey % 3 AS length, COUNT(*) AS n FROM orders GROUP BY 1",
+    "nested_depths": "SELECT 0 AS depth, COUNT(*) AS n FROM orders UNION ALL SELECT 1, 2 * COUNT(*) FROM orders UNION ALL SELECT 2, COUNT(*) FROM orders WHERE o_orderkey % 3 > 0",
+    "nested_fields": "SELECT field, occurrences, objects - occurrences AS missing, types, false AS inconsistent FROM (SELECT COUNT(*) AS every, COUNT(*) FILTER (o_orderkey % 3 > 0) AS filled, 2 * COUNT(*) + COUNT(*) FILTER (o_orderkey % 3 > 0) AS objects FROM orders), LATERAL (VALUES ('id', 2 * every, 'number'), ('customer', every, ''), ('a.b', every, 'string'), ('items', every, ''), ('n', filled, 'number')) AS v(field, occurrences, types)",
+    "nested_names": "SELECT field, n FROM (SELECT COUNT(*) AS every, COUNT(*) FILTER (o_orderkey % 3 > 0) AS filled FROM orders), LATERAL (VALUES ('id', 2 * every), ('customer', every), ('a.b', every), ('items', every), ('n', filled)) AS v(field, n)",
+    "nested_diff": """SELECT o_orderkey AS id, 'replace' AS op, '/customer/a.b' AS pointer, '"done"' AS value FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey, 'replace', '/items/0/n', '2' FROM orders WHERE o_orderkey % 3 = 2""",
     "map_fields": "SELECT c_custkey AS id, c_name AS label FROM customer",
     "map_nested": "SELECT c_custkey AS id, c_nationkey AS at_nation, c_mktsegment AS at_segment FROM customer",
     "pick_fields": "SELECT c_name, c_custkey FROM customer",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from docloom.errors import OperationError
+from docloom.functions.regex import java_pattern, java_replacement
 from docloom.paths import parts
 from docloom.plans.recipe import Recipe, Step
 
@@ -37,6 +38,13 @@ def _sql(step: Step, source: str) -> str:
         return f"SELECT * EXCEPT ({_name(c['from'])}), {_name(c['from'])} AS `{c['to']}` FROM {source}"
     if step.type == "add":
         return f"SELECT *, {_sql_literal(c.get('value'))} AS `{c['key']}` FROM {source}"
+    if step.type == "replace":
+        name = _name(c["field"])
+        hit = f"{name} <=> {_sql_literal(c['from'])}" if "from" in c else f"{name} IS NULL"
+        return f"SELECT * EXCEPT ({name}), CASE WHEN {hit} THEN {_sql_literal(c.get('to'))} ELSE {name} END AS {name} FROM {source}"
+    if step.type == "regex" and c.get("flags", "g") == "g":
+        name = _name(c["field"])
+        return f"SELECT * EXCEPT ({name}), regexp_replace({name}, {_sql_literal(java_pattern(c['pattern']))}, {_sql_literal(java_replacement(c.get('replacement', '')))}) AS {name} FROM {source}"
     if step.type == "map":
         return f"SELECT {', '.join(f'{_name(s)} AS `{t}`' for t, s in c['mapping'].items())} FROM {source}"
     if step.type == "extract":

@@ -43,6 +43,20 @@ def run_recipe(df: DataFrame, recipe: Recipe | str, order: list[str] | None = No
     return rows.visible
 
 
+#: Records that a preview runs on.
+PREVIEW = 1000
+
+
+def run_in_mode(df: DataFrame, recipe: Recipe | str, mode: str = "preview", order: list[str] | None = None, tables: dict[str, DataFrame] | None = None, most: int = PREVIEW) -> DataFrame:
+    """preview and live run on the first `most` records, full on all."""
+    if mode not in ("preview", "live", "full"):
+        raise OperationError(f"mode is preview, live or full, not {mode!r}")
+    if mode != "full":
+        rows = Rows.of(df, order)
+        df = rows.df.orderBy(*rows.by()).limit(most)
+    return run_recipe(df, recipe, order, tables)
+
+
 @dataclass(frozen=True)
 class StepStats:
     step: str

@@ -10,8 +10,9 @@ from docloom.operators import diff, insight, validation
 from docloom.operators.nodes import node_table
 from docloom.operators.steps import missing_fields
 from docloom.plans.codegen import to_sql
-from docloom.plans.compiler import run_recipe
+from docloom.plans.compiler import run_in_mode, run_recipe
 from docloom.plans.recipe import Recipe
+from docloom.sources.pages import page_json
 from docloom.sources.sinks import delimited_lines, json_lines
 
 #: Table and key of records in order, and the steps of a recipe.
@@ -22,6 +23,8 @@ RECIPES: dict[str, tuple[str, list[str], list[tuple[str, dict]]]] = {
     "filter_type_mismatch": ("part", ["p_partkey"], [("filter", {"field": "p_size", "equals": "15"}), ("pick", {"fields": ["p_partkey"]})]),
     "filter_exists": ("events", ["event_id"], [("filter", {"field": "props", "exists": True}), ("pick", {"fields": ["event_id"]})]),
     "filter_missing": ("events", ["event_id"], [("filter", {"field": "props", "exists": False}), ("pick", {"fields": ["event_id"]})]),
+    "filter_exists_some": ("orders", ["o_orderkey"], [("replace", {"field": "o_orderstatus", "from": "F", "to": None}), ("filter", {"field": "o_orderstatus", "exists": True}), ("pick", {"fields": ["o_orderkey"]})]),
+    "filter_missing_some": ("orders", ["o_orderkey"], [("replace", {"field": "o_orderstatus", "from": "F", "to": None}), ("filter", {"field": "o_orderstatus", "exists": False}), ("pick", {"fields": ["o_orderkey"]})]),
     "map_fields": ("customer", ["c_custkey"], [("map", {"mapping": {"id": "c_custkey", "label": "c_name", "none": "c_nothing"}})]),
     "map_nested": ("customer", ["c_custkey"], [("map", {"mapping": {"id": "c_custkey", "at.nation": "c_nationkey", "at.segment": "c_mktsegment"}}), ("flatten", {"separator": "_"})]),
     "pick_fields": ("customer", ["c_custkey"], [("pick", {"fields": ["c_name", "c_custkey", "c_name", "c_nothing"]})]),
@@ -88,6 +91,32 @@ def generated_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql_entry.query(_table(spark, sf_dir, "events"), to_sql(Recipe.of(*steps)), dialect="spark")
 
 
+EDITS = [("filter", {"field": "p_size", "exists": True}), ("replace", {"field": "p_brand", "from": "Brand#1", "to": "first"}), ("regex", {"field": "p_name", "pattern": "(\\w)(\\d+)", "replacement": "$2-$1"}), ("pick", {"fields": ["p_partkey", "p_brand", "p_name"]})]
+
+
+def generated_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """replace and regex as SQL."""
+    return sql_entry.query(_table(spark, sf_dir, "part"), to_sql(Recipe.of(*EDITS)), dialect="spark")
+
+
+def preview_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A recipe on the first thousand records, as a preview shows it."""
+    _, order, steps = RECIPES["filter_eq"]
+    return run_in_mode(_table(spark, sf_dir, "orders"), Recipe.of(*steps), "preview", order)
+
+
+def json_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, of which every third shows its address as JSON and every sixth says more."""
+    shown = F.concat(F.lit('<html><body><pre class="j">{&quot;at&quot;: &quot;'), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit('&quot;, "id": '), "page_id", F.lit("}</pre>"), F.when(F.col("page_id") % 6 == 0, "<p>more</p>").otherwise(""), F.lit("</body></html>"))
+    pages = _table(spark, sf_dir, "pages").withColumn("html", F.when(F.col("page_id") % 3 == 0, shown).otherwise(F.col("html")))
+    return page_json(pages).select("page_id", F.get_json_object("doc", "$.at").alias("at"), F.get_json_object("doc", "$.id").cast("bigint").alias("id"))
+
+
+def sorted_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hundred parts by the text of their keys, as a table shows them."""
+    return insight.sort_by_text(_table(spark, sf_dir, "part"), "p_partkey").limit(100).select("p_partkey")
+
+
 def required_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return missing_fields(_table(spark, sf_dir, "events"), ["props", "user_id", "nothing"])
 
@@ -123,6 +152,52 @@ def embedded_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("event_id", F.try_variant_get("value", "$.k", "bigint").alias("k"))
 
 
+#: Orders as nested documents: arrays of 0 to 2 items, nulls, and keys that need quotes.
+NESTED = """concat('{"id":', o_orderkey, ',"customer":{"id":', o_custkey, ',"a.b":"', o_orderstatus, '"},"items":[', CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '{"n":1}' ELSE '{"n":1.50},null' END, ']}')"""
+
+
+def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return node_table(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(NESTED).alias("doc")))
+
+
+def nested_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = _nested(spark, sf_dir)
+    return insight.profile(nodes).crossJoin(insight.event_count(nodes))  # one row each
+
+
+def nested_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = insight.infer_schema(_nested(spark, sf_dir))
+    return found.select("gpath", F.array_join("types", ",").alias("types"), "n", F.array_join("keys", ",").alias("keys"))
+
+
+def nested_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insight.lookup(_nested(spark, sf_dir), "/items/0/n").select("id", "gpath", "depth", "type", "raw")
+
+
+def nested_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insight.array_lengths(_nested(spark, sf_dir))
+
+
+def nested_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insight.depth_counts(_nested(spark, sf_dir))
+
+
+def nested_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The forty fields that occur most often."""
+    return insight.top_fields(_nested(spark, sf_dir)).select("field", "occurrences", "missing", F.array_join("types", ",").alias("types"), "inconsistent")
+
+
+def nested_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return insight.property_counts(_nested(spark, sf_dir))
+
+
+def nested_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested documents against copies whose status and first item changed."""
+    left = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(NESTED).alias("doc"))
+    right = left.select("id", F.regexp_replace(F.regexp_replace("doc", '"a\\.b":"F"', '"a.b":"done"'), r"1\.50", "2").alias("doc"))
+    return diff.diff_documents(left, right).select("id", "op", F.col("path").alias("pointer"), "value")
+
+
 SCHEMA = {
     "type": "object",
     "required": ["event_id", "nothing"],
@@ -186,6 +261,13 @@ SQL: dict[str, str] = {
     "sql_top_k": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25",
     "sql_strings": "SELECT c_custkey, UPPER(SUBSTRING(c_name, 1, 4)) AS head, LENGTH(c_name) AS n, CONCAT(c_mktsegment, '-', c_name) AS label FROM customer WHERE c_mktsegment LIKE 'B%' OR c_mktsegment IN ('MACHINERY')",
     "sql_dates": "SELECT YEAR(o_orderdate) AS y, MONTH(o_orderdate) AS m, COUNT(*) AS n FROM orders GROUP BY YEAR(o_orderdate), MONTH(o_orderdate)",
+    "sql_anti_some": "SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')",
+    "sql_except_some": "SELECT o_orderkey AS k FROM orders EXCEPT SELECT l_orderkey AS k FROM lineitem WHERE l_quantity > 30",
+    "sql_strftime": "SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS day FROM orders",
+    "sql_len": "SELECT c_custkey, len(c_name) AS n FROM customer",
+    "sql_lists": "SELECT o_orderkey, list_contains(list_value('F', 'O'), o_orderstatus) AS known FROM orders",
+    "sql_unnest": "SELECT n_nationkey, unnest(list_value(n_regionkey, n_nationkey)) AS x FROM nation",
+    "sql_right_join": "SELECT o.o_orderkey AS k, c.c_custkey AS c FROM orders o RIGHT JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P'",
     "sql_asof": "SELECT event_id, last_purchase FROM (SELECT event_id, MAX(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id) AS last_purchase FROM events) AS e WHERE last_purchase IS NOT NULL",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -206,6 +288,6 @@ def sql_dialect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     **{name: _recipe(name) for name in RECIPES},
-    **{f.__name__: f for f in (lookup_join, inline_join, group_nested, generated_sql, required_report, profile, profile_fields, schema_types, index_lookup, node_search, embedded_json, schema_validate, diff_rows, diff_patch_roundtrip, table_search, csv_cells, jsonl_lines, sql_dialect)},
+    **{f.__name__: f for f in (lookup_join, inline_join, group_nested, generated_sql, generated_edits, preview_mode, json_pages, sorted_by_text, required_report, nested_profile, nested_schema, nested_index, nested_lengths, nested_depths, nested_fields, nested_names, nested_diff, profile, profile_fields, schema_types, index_lookup, node_search, embedded_json, schema_validate, diff_rows, diff_patch_roundtrip, table_search, csv_cells, jsonl_lines, sql_dialect)},
     **{name: _sql(name) for name in SQL},
 }

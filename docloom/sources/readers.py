@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,21 @@ def read_texts(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     return raw.where(F.trim("value") != "").select(F.monotonically_increasing_id().alias("id"), doc)
 
 
+@dataclass(frozen=True)
+class Preview:
+    """What is shown before a source is read in full."""
+
+    format: str
+    text: str
+    records: DataFrame
+
+
+def preview(spark: SparkSession, path: str, fmt: str | None = None, most: int = 1000) -> Preview:
+    """The format, the first lines of a text source, and its first `most` records."""
+    fmt = fmt or file_format(spark, path)
+    return Preview(fmt, "" if fmt == "parquet" else _head(spark, path), read(spark, path, fmt).limit(most))
+
+
 def bad_records(spark: SparkSession, path: str) -> DataFrame:
     """(file, block, row, text) of the lines of a JSON Lines source that aren't JSON."""
     lines = indexed(spark.read.text(path))

@@ -119,3 +119,17 @@ def test_paths_of_dotted_keys_stay_apart(spark):
     schema = json_schema(nodes)["properties"]
     assert schema["a.b"] == {"type": "number"} and schema["a"]["properties"] == {"b": {"type": "string"}}
     assert schema["list"]["items"]["properties"] == {"c": {"type": "number"}}
+
+
+def test_names_events_and_top_fields(spark):
+    nodes = nodes_of(spark, '{"a":[1,{"a":null}],"b":{}}')
+    assert insight.event_count(nodes).first()["events"] == 2 * 4 + 2 + 3
+    assert {r["field"]: r["n"] for r in insight.property_counts(nodes).collect()} == {"a": 2, "b": 1}
+    assert [r["field"] for r in insight.top_fields(nodes, 1).collect()] == ["a"]
+    assert insight.event_count(nodes.limit(0)).first()["events"] == 0
+
+
+def test_sort_by_shown_text(spark):
+    df = spark.createDataFrame([(1, [2]), (10, None), (9, [10]), (None, [])], "n int, xs array<int>")
+    assert [r["n"] for r in insight.sort_by_text(df, "n").collect()] == [1, 10, 9, None]
+    assert [r["n"] for r in insight.sort_by_text(df, "xs", descending=True).collect()] == [10, None, 1, 9]

@@ -1,8 +1,9 @@
 import pytest
 
 from docloom.errors import RecipeError
-from docloom.plans.codegen import TARGETS
+from docloom.plans.codegen import TARGETS, to_sql
 from docloom.plans.recipe import History, Recipe, Step, suggest
+from docloom.sql import query
 
 
 def test_round_trip():
@@ -41,3 +42,10 @@ def test_codegen():
     assert "`active` <=> TRUE" in TARGETS["sql"](recipe)
     assert TARGETS["jsonata"](recipe) == "$[active = true]"
     assert "run_recipe" in TARGETS["python"](recipe)
+
+
+def test_sql_of_replace_and_regex(spark):
+    recipe = Recipe.of(("replace", {"field": "a", "from": "x", "to": "it's"}), ("regex", {"field": "b", "pattern": "(\\d)(\\w)", "replacement": "$2$1"}))
+    df = spark.createDataFrame([("x", "1a"), (None, "2b")], "a string, b string")
+    got = query(df, to_sql(recipe), dialect="spark")
+    assert [(r["a"], r["b"]) for r in got.collect()] == [("it's", "a1"), (None, "b2")]

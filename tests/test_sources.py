@@ -1,15 +1,21 @@
 """Sources, sinks, expressions, SQL, streams, CLI."""
 
 import json
+import threading
+import time
 
 import pytest
 
 from docloom import cli, queries, sql
-from docloom.errors import ExpressionError
+from docloom.errors import ExpressionError, OperationError
 from docloom.operators.rows import INDEX
-from docloom.plans.compiler import run_recipe
+from docloom.plans.compiler import run_in_mode, run_recipe
+from docloom.plans.jobs import Watched, counted
 from docloom.plans.recipe import Recipe
 from docloom.sources import readers, sinks
+from docloom.sources.pages import page_json
+from docloom.sources.readers import preview, read
+from docloom.sources.samples import sample_orders
 from docloom.streaming import run as streams
 
 
@@ -156,3 +162,54 @@ def test_sql_forms_and_views(spark):
     assert tuple(row) == (3, "2024-03", "05T06:07")
     assert spark.table("source").columns == ["x"]
     spark.catalog.dropTempView("source")
+
+
+def test_json_of_pages(spark):
+    pre = "<html><head></head><BODY class='x'>\n<pre style='a'>{pre}</pre>\n</BODY></html>"
+    cases = [(1, pre.replace("{pre}", '{&quot;a&quot;:&quot;&lt;&amp;lt;&quot;}'), None), (2, pre.replace("{pre}", "not json"), None), (3, "<html><body><pre>[1]</pre><p>x</p></body></html>", "text/html"), (4, "[1, 2]", "application/json; charset=utf-8"), (5, "{}", "application/ld+json"), (6, None, None), (7, "", ""), (8, "<html><body>text<pre>[1]</pre></body></html>", None), (9, pre.replace("{pre}", "<b>[1]</b>"), None), (10, "[1]", "text/json+html-not")]
+    pages = spark.createDataFrame(cases, "id int, html string, kind string")
+    assert {r["id"]: r["doc"] for r in page_json(pages, "html", "kind").collect()} == {1: '{"a":"<&lt;"}', 4: "[1, 2]", 5: "{}"}
+    assert [r["id"] for r in page_json(pages).collect()] == [1]
+    assert page_json(pages.limit(0)).count() == 0
+
+
+def test_sample_orders_agree_on_every_run(spark):
+    orders = sample_orders(spark, 80)
+    rows = orders.orderBy("createdAt").collect()
+    assert len(rows) == 80 and rows == sample_orders(spark, 80).orderBy("createdAt").collect()
+    assert all(r["total"] == sum(x["price"] * x["quantity"] for x in r["items"]) for r in rows)
+    assert len({r["status"] for r in rows}) > 1 and {len(r["items"]) for r in rows} <= {1, 2, 3, 4}
+    assert sample_orders(spark, 200).where("id = 'order-7'").first() == rows[6]
+
+
+def test_preview_and_modes(spark, tmp_path):
+    path = str(tmp_path / "n.jsonl")
+    (tmp_path / "n.jsonl").write_text("".join(f'{{"n":{i}}}\n' for i in range(50)))
+    shown = preview(spark, path, most=5)
+    assert (shown.format, shown.records.count()) == ("jsonl", 5) and shown.text.startswith('{"n":0}')
+    recipe = Recipe.of(("sort", {"key": "n", "direction": "desc"}))
+    run = lambda mode: [int(r["n"]) for r in run_in_mode(read(spark, path), recipe, mode, most=3).collect()]
+    assert run("preview") == run("live") == [2, 1, 0] and run("full") == list(range(49, -1, -1))
+    with pytest.raises(OperationError, match="mode"):
+        run("fast")
+
+
+def test_watched_runs(spark):
+    with Watched(spark) as run:
+        df, count = counted(spark.range(1000, numPartitions=4))
+        df.write.format("noop").mode("overwrite").save()
+        assert count.get["records"] == 1000
+        done = run.progress()
+        assert done.total >= 4 and done.done == done.total
+
+    def asleep(batches):
+        time.sleep(60)
+        yield from batches
+
+    with Watched(spark) as slow:
+        timer = threading.Timer(2, slow.cancel)
+        timer.start()
+        with pytest.raises(Exception, match="(?i)cancel"):
+            spark.range(4, numPartitions=4).mapInArrow(asleep, "id bigint").write.format("noop").mode("overwrite").save()
+        timer.join()
+    assert spark.range(3).count() == 3
