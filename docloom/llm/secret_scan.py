@@ -1,18 +1,22 @@
 """Secret scans over an incremental ledger of content-addressed blobs.
 
-Every version of every path is addressed by the SHA-256 of its text. The ledger holds one
-row per (blob, rule version) already scanned, with its findings. A scan looks only at
-blobs whose pair with the current rule version is not in the ledger, once per blob however
-many paths and versions hold it, and joins the findings back to all of them.
-
-Only DataFrame functions are used. Texts are reduced to one copy per blob before the
-shuffle where a task sees copies; findings are rows (blob, kind, start, end), so a very
-long text gives many small rows; only its kept spans come together again, in one array.
-Starts are summed over gaps and matches within a blob and kind.
+Every version of every path is addressed by the SHA-256 of its text. The ledger tells of each
+blob which versions of rules have been run over it, and what they found; a rule's version
+is a hash of all that it says. A scan runs only those (blob, rule version) pairs that the
+ledger lacks, once per blob however many paths and versions hold it, appends them, and joins
+the findings of the rules asked for back to all paths.
+
+Only DataFrame functions are used. Of later deliveries only ids meet the ledger: texts that
+have nothing left to run stay where they are if the others' ids are few enough to broadcast. Texts
+are reduced to one copy per blob before the shuffle where a task sees copies; findings are
+rows (blob, kind, start, end), so a very long text gives many small rows; only its kept
+spans come together again, in one array. Starts are summed over gaps and matches within a
+blob and kind.
 
 Defined cases: null text is the empty text; repeated rows share a blob and get its findings
-each; a blob without findings is in the ledger with none; a column of the versions that is called
-like the one added is replaced; an empty table scans nothing.
+each; a blob without findings is in the ledger with none; a rule may not be given twice; a
+column of the versions that is called like the one added is replaced; an empty table scans
+nothing.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name, written
+from .common import SMALL_ROWS, free_name, written
 
 
 @dataclass(frozen=True)
@@ -54,14 +58,24 @@ EXTRA_RULES = (
 RULES = BASE_RULES + EXTRA_RULES
 
 
-def rules_version(rules: tuple[Rule, ...] = RULES) -> str:
-    return hashlib.sha256(repr(rules).encode()).hexdigest()[:16]
+def rule_version(rule: Rule) -> str:
+    return hashlib.sha256(repr(rule).encode()).hexdigest()[:16]
+
+
+def _versions(rules: tuple[Rule, ...]) -> list[str]:
+    versions = [rule_version(r) for r in rules]
+    if len(set(versions)) < len(versions):
+        raise ValueError("a rule is given twice")
+    return versions
 
 
 def blob_id(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
+MATCHES = "array<struct<kind:int,gap:int,size:int,kept:boolean>>"
+
+
 def _matches(text: Column, number: int, rule: Rule) -> Column:
     """The rule's matches in order, kept or not: kind number, gap before, length, kept."""
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
@@ -73,44 +87,66 @@ def _matches(text: Column, number: int, rule: Rule) -> Column:
         found = F.zip_with(gaps, both, lambda gap, b: row(gap, b["m"], b["k"]))
     else:
         found = F.zip_with(gaps, whole, lambda gap, m: row(gap, m, F.length(m) >= rule.least))
-    empty = F.array().cast("array<struct<kind:int,gap:int,size:int,kept:boolean>>")
-    return F.when(text.rlike(rule.pattern), found).otherwise(empty)
+    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(MATCHES))
 
 
 SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
+LEDGER = "blob string, rules array<string>, spans array<struct<start:bigint,rule:string,end:bigint>>"
+
 
+def _due(blobs: DataFrame, ledger: DataFrame, versions: list[str]) -> DataFrame:
+    """(blob, due) of blobs with rules left to run: bit i of `due` stands for rule i."""
+    asked = F.array(*map(F.lit, versions))
+    seen = ledger.where(F.arrays_overlap("rules", asked)).groupBy("blob").agg(F.flatten(F.collect_list(F.array_intersect("rules", asked))).alias("seen"))
+    due = F.lit(0)
+    for i, version in enumerate(versions):
+        due = due + F.when(F.array_contains("seen", version), 0).otherwise(1 << i)
+    return blobs.select("blob").distinct().join(seen, "blob", "left").select("blob", due.alias("due")).where("due > 0")
 
-def scan_ledger(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """The ledger after this delivery, one row per blob and rule version: blob, rules (the
-    version) and spans, the kept matches in order. Pairs that `ledger` has are carried over
-    and not scanned again."""
-    version = rules_version(rules)
+
+def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """What this delivery adds to the ledger, one row per blob with pairs that `ledger` lacks:
+    blob, rules (the versions that were run) and spans, the kept matches in order."""
+    names = _versions(rules)
     blobs = versions.select(blob_id(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if ledger is not None:
-        blobs = blobs.join(ledger.where(F.col("rules") == version).select("blob"), "blob", "left_anti")
+    if ledger is None:
+        blobs = blobs.withColumn("due", F.lit((1 << len(rules)) - 1))
+    else:
+        todo = written(_due(blobs, ledger, names), "secret-todo")
+        if todo.count() <= SMALL_ROWS:
+            blobs = blobs.join(F.broadcast(todo), "blob")
+        else:
+            blobs = blobs.groupBy("blob").agg(F.first("text").alias("text")).join(todo, "blob")
+    asked = [F.col("due").bitwiseAND(1 << i) != 0 for i in range(len(rules))]
     # Texts without any match need no shuffle: only their ids do.
     suspect = F.lit(False)
-    for rule in rules:
-        suspect = suspect | F.col("text").rlike(rule.pattern)
+    for rule, due in zip(rules, asked, strict=True):
+        suspect = suspect | (due & F.col("text").rlike(rule.pattern))
     blobs = blobs.withColumn("text", F.when(suspect, F.col("text")))
-    blobs = blobs.groupBy("blob").agg(F.first("text", ignorenulls=True).alias("text"))
-    matches = F.concat(*[_matches(F.col("text"), i, r) for i, r in enumerate(rules)])
-    rows = blobs.select("blob", F.posexplode_outer(F.when(F.col("text").isNotNull(), matches)).alias("pos", "m")).select("blob", "pos", "m.*")
+    blobs = blobs.groupBy("blob").agg(F.first("text", ignorenulls=True).alias("text"), F.first("due").alias("due"))
+    matches = F.concat(*[F.when(due, _matches(F.col("text"), i, r)).otherwise(F.array().cast(MATCHES)) for i, (r, due) in enumerate(zip(rules, asked, strict=True))])
+    rows = blobs.select("blob", "due", F.posexplode_outer(F.when(F.col("text").isNotNull(), matches)).alias("pos", "m")).select("blob", "due", "pos", "m.*")
     so_far = Window.partitionBy("blob", "kind").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far))
     span = F.struct((F.col("end") - F.col("size")).alias("start"), "kind", "end")
-    fresh = rows.groupBy("blob").agg(F.array_sort(F.collect_list(F.when(F.col("kept"), span))).cast(SPANS).alias("spans"))
-    fresh = fresh.select("blob", F.lit(version).alias("rules"), "spans")
-    return fresh if ledger is None else ledger.select("blob", "rules", "spans").unionByName(fresh)
+    fresh = rows.groupBy("blob").agg(F.first("due").alias("due"), F.array_sort(F.collect_list(F.when(F.col("kept"), span))).cast(SPANS).alias("spans"))
+    run = F.array_compact(F.array(*[F.when(due, F.lit(n)) for n, due in zip(names, asked, strict=True)]))
+    named = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.element_at(F.array(*map(F.lit, names)), s["kind"] + 1).alias("rule"), s["end"].alias("end")))
+    return fresh.select("blob", run.alias("rules"), named.alias("spans"))
 
 
 def scan_secrets(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text", spans_col: str = "secret_spans") -> tuple[DataFrame, DataFrame]:
-    """(`versions` with the column of spans, the ledger to keep for the next delivery)."""
-    ledger = written(scan_ledger(versions, ledger, rules, text_col), "secret-ledger")
+    """(`versions` with the column of spans, the ledger to keep for the next delivery). The
+    ledger is the earlier one and what was appended; nothing of it is written again."""
+    fresh = written(scan_unseen(versions, ledger, rules, text_col), "secret-ledger")
+    ledger = fresh if ledger is None else ledger.select("blob", "rules", "spans").unionByName(fresh)
     versions = versions.drop(*[c for c in versions.columns if c.lower() == spans_col.lower()])
-    blob = free_name(versions, "blob")
-    now = ledger.where(F.col("rules") == rules_version(rules)).select(F.col("blob").alias(blob), F.col("spans").alias(spans_col))
-    found = versions.withColumn(blob, blob_id(F.col(text_col))).join(now.where(F.size(spans_col) > 0), blob, "left").drop(blob)
+    blob, names = free_name(versions, "blob"), F.array(*map(F.lit, _versions(rules)))
+    kinds = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (F.array_position(names, s["rule"]) - 1).cast("int").alias("kind"), s["end"].alias("end")))
+    now = ledger.where(F.size("spans") > 0).select("blob", F.filter(kinds, lambda s: s["kind"] >= 0).alias("spans")).where(F.size("spans") > 0)
+    # A blob has a row for each delivery that brought it new rules.
+    now = now.groupBy(F.col("blob").alias(blob)).agg(F.array_sort(F.flatten(F.collect_list("spans"))).cast(SPANS).alias(spans_col))
+    found = versions.withColumn(blob, blob_id(F.col(text_col))).join(now, blob, "left").drop(blob)
     return found.withColumn(spans_col, F.coalesce(F.col(spans_col), F.array().cast(SPANS))), ledger
 
 

@@ -103,7 +103,7 @@ def test_secret_spans(spark, corpus):
         assert [(s["start"], s["kind"], s["end"]) for s in r["secret_spans"] if s["kind"] < 3] == brute_spans(r["text"])
     assert secret_scan.scan_secrets(empty(spark))[0].count() == 0
     # What the ledger has isn't scanned again: a made-up finding stays.
-    forged = ledger.withColumn("spans", F.array().cast(secret_scan.SPANS))
+    forged = ledger.withColumn("spans", F.array().cast(ledger.schema["spans"].dataType))
     again, _ = secret_scan.scan_secrets(df.unionByName(spark.createDataFrame([(999, "token=newsecret1", "en", "a", 0)], DOCS)), forged)
     assert {r["doc_id"] for r in again.where(F.size("secret_spans") > 0).collect()} == {999}
     masked = {r["doc_id"]: r for r in secret_scan.masked(found, count_col="n_chars").collect()}
@@ -111,6 +111,35 @@ def test_secret_spans(spark, corpus):
     assert masked[4]["text"] == corpus[1][4][1] and masked[0]["text"] is None
 
 
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_ledger_runs_unseen_rules_only(spark, corpus, monkeypatch, small):
+    monkeypatch.setattr(secret_scan, "SMALL_ROWS", small)
+    key = "ghp_" + "a1" * 15
+    old = corpus[0].unionByName(spark.createDataFrame([(900 + i, f"{key} password=abcdefgh{i % 2}", "en", "a", 0) for i in range(4)], DOCS))
+    new = old.unionByName(spark.createDataFrame([(950, f"another {key}", "en", "a", 0), (951, "nothing", "en", "a", 0)], DOCS))
+    once = {r["doc_id"]: r["secret_spans"] for r in secret_scan.scan_secrets(new)[0].collect()}
+    _, first = secret_scan.scan_secrets(old, rules=secret_scan.BASE_RULES)
+    found, second = secret_scan.scan_secrets(new, first)
+    assert {r["doc_id"]: r["secret_spans"] for r in found.collect()} == once
+    # Old blobs get the added rules only, new blobs get all; no pair is ever run twice.
+    pairs = [(r["blob"], rule) for r in second.collect() for rule in r["rules"]]
+    blobs = {b for b, _ in pairs}
+    assert len(pairs) == len(set(pairs)) == len(blobs) * len(secret_scan.RULES)
+    added = {secret_scan.rule_version(r) for r in secret_scan.EXTRA_RULES}
+    fresh = secret_scan.scan_unseen(new, first).collect()
+    known = {r["blob"] for r in first.collect()}
+    assert {r["blob"] for r in fresh} == blobs and all(set(r["rules"]) == added for r in fresh if r["blob"] in known)
+    assert secret_scan.scan_unseen(new, second).count() == 0
+    # One changed rule is run alone, and the old one's findings aren't shown for it.
+    changed = (*secret_scan.RULES[:2], secret_scan.Rule("hex", r"[0-9a-f]{40,}", 0, 40))
+    third = secret_scan.scan_unseen(new, second, changed).collect()
+    assert {tuple(r["rules"]) for r in third} == {(secret_scan.rule_version(changed[2]),)}
+    shown = {r["doc_id"]: r["secret_spans"] for r in secret_scan.scan_secrets(new, second, changed)[0].collect()}
+    assert shown == {i: [s for s in spans if s["kind"] < 2 or s["kind"] == 2 and s["end"] - s["start"] >= 40] for i, spans in once.items()}
+    with pytest.raises(ValueError):
+        secret_scan.scan_unseen(new, rules=(*secret_scan.RULES, secret_scan.RULES[0]))
+
+
 # --- 3
 
 
