@@ -6,12 +6,12 @@ is a hash of all that it says. A scan runs only those (blob, rule version) pairs
 ledger lacks, once per blob however many paths and versions hold it, appends them, and joins
 the findings of the rules asked for back to all paths.
 
-Only DataFrame functions are used. Of later deliveries only ids meet the ledger: texts that
-have nothing left to run stay where they are if the others' ids are few enough to broadcast. Texts
-are reduced to one copy per blob before the shuffle where a task sees copies; findings are
-rows (blob, kind, start, end), so a very long text gives many small rows; only its kept
-spans come together again, in one array. Starts are summed over gaps and matches within a
-blob and kind.
+Only DataFrame functions are used. Rules that the ledger knows of no blob are run where the
+texts lie; for the others only ids meet the ledger, and texts that have nothing left to run stay
+where they are if the ids of the rest are few enough to broadcast. Texts are reduced to one
+copy per blob before the shuffle where a task sees copies; findings are rows (blob, kind,
+start, end), so a very long text gives many small rows; only its kept spans come together
+again, in one array. Starts are summed over gaps and matches within a blob and kind.
 
 Defined cases: null text is the empty text; repeated rows share a blob and get its findings
 each; a blob without findings is in the ledger with none; a rule may not be given twice; a
@@ -94,29 +94,18 @@ SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 LEDGER = "blob string, rules array<string>, spans array<struct<start:bigint,rule:string,end:bigint>>"
 
 
-def _due(blobs: DataFrame, ledger: DataFrame, versions: list[str]) -> DataFrame:
-    """(blob, due) of blobs with rules left to run: bit i of `due` stands for rule i."""
-    asked = F.array(*map(F.lit, versions))
+def _due(blobs: DataFrame, ledger: DataFrame, bits: dict[str, int]) -> DataFrame:
+    """(blob, due) of blobs with rules left to run: bit bits[v] of `due` stands for version v."""
+    asked = F.array(*map(F.lit, bits))
     seen = ledger.where(F.arrays_overlap("rules", asked)).groupBy("blob").agg(F.flatten(F.collect_list(F.array_intersect("rules", asked))).alias("seen"))
     due = F.lit(0)
-    for i, version in enumerate(versions):
-        due = due + F.when(F.array_contains("seen", version), 0).otherwise(1 << i)
+    for version, bit in bits.items():
+        due = due + F.when(F.array_contains("seen", version), 0).otherwise(1 << bit)
     return blobs.select("blob").distinct().join(seen, "blob", "left").select("blob", due.alias("due")).where("due > 0")
 
 
-def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """What this delivery adds to the ledger, one row per blob with pairs that `ledger` lacks:
-    blob, rules (the versions that were run) and spans, the kept matches in order."""
-    names = _versions(rules)
-    blobs = versions.select(blob_id(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    if ledger is None:
-        blobs = blobs.withColumn("due", F.lit((1 << len(rules)) - 1))
-    else:
-        todo = written(_due(blobs, ledger, names), "secret-todo")
-        if todo.count() <= SMALL_ROWS:
-            blobs = blobs.join(F.broadcast(todo), "blob")
-        else:
-            blobs = blobs.groupBy("blob").agg(F.first("text").alias("text")).join(todo, "blob")
+def _scanned(blobs: DataFrame, rules: tuple[Rule, ...], names: list[str]) -> DataFrame:
+    """Rows of the ledger for `blobs` (blob, text, due: bits of the rules to run)."""
     asked = [F.col("due").bitwiseAND(1 << i) != 0 for i in range(len(rules))]
     # Texts without any match need no shuffle: only their ids do.
     suspect = F.lit(False)
@@ -135,6 +124,31 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tup
     return fresh.select("blob", run.alias("rules"), named.alias("spans"))
 
 
+def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """What this delivery adds to the ledger: blob, rules (the versions that were run) and
+    spans, the kept matches in order. A blob has one row for the rules that the ledger knows of
+    no blob and one for those of the others that it lacks."""
+    names = _versions(rules)
+    blobs = versions.select(blob_id(F.col(text_col)).alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    known: set[str] = set()
+    if ledger is not None:
+        known = {r[0] for r in ledger.select(F.explode("rules").alias("v")).where(F.col("v").isin(names)).distinct().collect()}
+    bits = {v: i for i, v in enumerate(names) if v in known}
+    fresh = []
+    if len(bits) < len(names):  # no pair of these rules can be in the ledger, whatever the blob
+        fresh.append(blobs.withColumn("due", F.lit(sum(1 << i for i, v in enumerate(names) if v not in bits))))
+    if bits:
+        todo = written(_due(blobs, ledger, bits), "secret-todo")
+        if todo.count() <= SMALL_ROWS:
+            fresh.append(blobs.join(F.broadcast(todo), "blob"))
+        else:
+            fresh.append(blobs.groupBy("blob").agg(F.first("text").alias("text")).join(todo, "blob"))
+    out = _scanned(fresh[0], rules, names)
+    for more in fresh[1:]:
+        out = out.unionByName(_scanned(more, rules, names))
+    return out
+
+
 def scan_secrets(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text", spans_col: str = "secret_spans") -> tuple[DataFrame, DataFrame]:
     """(`versions` with the column of spans, the ledger to keep for the next delivery). The
     ledger is the earlier one and what was appended; nothing of it is written again."""
