@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from docloom import paths
 from docloom.errors import OperationError
 from docloom.functions.regex import replace_regex
-from docloom.operators.rows import HIDDEN, Rows
+from docloom.operators.rows import HIDDEN, INDEX, Rows
 from docloom.paths import ref
 from docloom.semantics import UNDEFINED, as_number, comparable, compact, exact, identical, is_nested, is_number, literal, sort_keys
 
@@ -418,13 +418,15 @@ def aggregate(config: dict) -> Transform:
 
 @register_step("validate")
 def validate(config: dict) -> Transform:
-    """{fields}: fails on a record that lacks one of these; else changes nothing. Typed rows
-    hold missing as null, so null fails in them; in VARIANT it passes."""
+    """{fields}: fails on a record that lacks one of these, and says where the source has it;
+    else changes nothing. Typed rows hold missing as null, so null fails in them; in VARIANT it
+    passes."""
     fields = _names(config, "fields")
 
     def run(rows: Rows) -> Rows:
         lacking = F.concat_ws(", ", *[F.when(paths.get(rows.df.schema, f).isNull(), F.lit(f)) for f in fields])
-        failed = F.raise_error(F.concat(F.lit("A record is missing required fields: "), lacking)).cast("boolean")
+        place = F.to_json(F.struct(F.col(INDEX).alias("record")))
+        failed = F.raise_error(F.concat(F.lit("A record is missing required fields: "), lacking, F.lit(", at "), place)).cast("boolean")
         return rows.with_df(rows.df.where(F.when(lacking == "", True).otherwise(failed))) if fields else rows
 
     return run

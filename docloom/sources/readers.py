@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.nodes import dump_json, parse_json
@@ -102,10 +102,20 @@ def preview(spark: SparkSession, path: str, fmt: str | None = None, most: int =
 
 
 def bad_records(spark: SparkSession, path: str) -> DataFrame:
-    """(file, block, row, text) of the lines of a JSON Lines source that aren't JSON."""
-    lines = indexed(spark.read.text(path))
-    bad = lines.where((F.trim("value") != "") & F.try_parse_json("value").isNull())
-    return bad.select(f"{INDEX}.*", F.col("value").alias("text"))
+    """(file, record, offset, text) of the lines of a JSON Lines source that aren't JSON: how many
+    records the file has before, and the byte at which the line begins.
+
+    Files are counted by blocks; only blocks that hold a bad line are put in order."""
+    raw = indexed(spark.read.option("lineSep", "\n").text(path)).select(f"{INDEX}.*", F.regexp_replace("value", "\r$", "").alias("text"), (F.octet_length("value") + 1).alias("bytes"))
+    lines = raw.withColumn("full", (F.trim("text") != "").cast("int")).withColumn("bad", (F.col("full") == 1) & F.try_parse_json("text").isNull())
+    block = ["file", "block"]
+    counts = lines.groupBy(*block).agg(F.sum("full").alias("full"), F.sum("bytes").alias("bytes"), F.max("bad").alias("bad"))
+    in_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*block, "bad", *[F.coalesce(F.sum(c).over(in_file), F.lit(0)).alias(f"{c}_before") for c in ("full", "bytes")]).where("bad").drop("bad")
+    in_block = Window.partitionBy(*block).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    before = {c: F.col(f"{c}_before") + F.coalesce(F.sum(c).over(in_block), F.lit(0)) for c in ("full", "bytes")}
+    found = lines.join(starts, block).select("file", before["full"].alias("record"), before["bytes"].alias("offset"), "text", "bad")
+    return found.where("bad").drop("bad")
 
 
 def count_records(spark: SparkSession, path: str) -> int:

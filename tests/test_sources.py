@@ -40,6 +40,24 @@ def test_bad_lines(spark, tmp_path):
         readers.read(spark, str(tmp_path), "jsonl", schema="id bigint").collect()
 
 
+def test_places_of_bad_lines(spark, tmp_path):
+    lines = [f'{{"id":{i},"t":"{"é" * (i % 7)}"}}' for i in range(400)]
+    for i in (0, 123, 124, 399):
+        lines[i] = f"bad {i} é"
+    lines[50] = "  "
+    text = "\r\n".join(lines[:200]) + "\r\n" + "\n".join(lines[200:])
+    (tmp_path / "a.jsonl").write_bytes(text.encode())
+    want = [(i - (i > 50), text.encode().index(f"bad {i} ".encode()), f"bad {i} é") for i in (0, 123, 124, 399)]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for block in (size, "1000"):  # in one block and in many
+            spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+            got = readers.bad_records(spark, str(tmp_path)).orderBy("offset").collect()
+            assert [(r["record"], r["offset"], r["text"]) for r in got] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_exact_texts_and_variant(spark, tmp_path):
     path = tmp_path / "a.jsonl"
     path.write_text('{"n":1.50,"m":900719925474099312345}\n')

@@ -142,7 +142,7 @@ def test_convert(spark):
 
 def test_validate_fails_on_missing(spark):
     assert len(rows(spark, PEOPLE, ("validate", {"fields": ["id"]}))) == 3
-    with pytest.raises(Exception, match="missing required fields: gone"):
+    with pytest.raises(Exception, match="missing required fields: gone, at .*record"):
         rows(spark, PEOPLE, ("validate", {"fields": ["id", "gone"]}))
 
 
