@@ -1,13 +1,16 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model is a word trigram model fitted on at most `sample_docs` trusted documents of at
-most `sample_words` words together (documented bounds; labelled quality 1 and not toxic, of
-one half by a hash of their ids, taken in the order of that hash while the words last).
-Counting and fitting are sharded: n-grams are summed by a grouped aggregation, and each
-order's counts meet the totals of their contexts in shards dealt by context. Only the
-model's finished tables, a hash and a number per n-gram of the bounded sample, reach the
-driver. They are broadcast as sorted arrays, so that the join of a document's n-grams with
-the model needs no shuffle: every document is scored where it is read.
+The model is a word trigram model fitted on all trusted documents (labelled quality 1 and not
+toxic) of one half by a hash of their ids; the other half sets the thresholds. Trigrams are
+counted where their middle word lies, so that their contexts, pairs and the pairs' contexts
+are met there; single words come by one join. An interpolated model's log-probability is a
+sum of weights, one for each trigram, pair and word that was seen:
+`log p(c|ab) = log p(c) + log w(b) + log w(ab) + D(bc) + D(abc)`, where w is what a context
+leaves to the lower order and D(abc) = log(1 + p3(abc) / (w(ab) p(c|b))). So documents are
+scored by an equi-join of their n-grams with the weights, dealt to shards by n-gram, and sums
+per document. Only the weights of the `HOT_WORDS` most common words are broadcast, lest one
+shard be asked for them by all. `fit_model` makes a model of the same kind in memory, of a
+bounded sample; the operator doesn't use it.
 
 A document's score is its mean negative log-probability per word, with `prior_words` words
 at its language's mean added, so that short texts don't stand out by chance; its
@@ -32,11 +35,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, n_words, written
+from .common import WORD, free_name, n_words, spread_join, written
 
 SAMPLE_DOCS, SAMPLE_WORDS, PRIOR_WORDS, QUANTILE = 6_000, 3_000_000, 20.0, 0.99
 ADDED = ("nll", "n_tokens", "score", "perplexity", "threshold", "keep")
@@ -46,6 +50,14 @@ SEED, UPPER = 42, 33
 BEGIN, END = xxhash.xxh64_intdigest(b" ", SEED) >> UPPER, xxhash.xxh64_intdigest(b"\n", SEED) >> UPPER
 #: Words whose hashes a worker remembers, and characters of text that are scored at once.
 CACHE, CHARS = 200_000, 1_000_000
+#: Bits of an n-gram's hash by which it is known in the shards: of n n-grams, n in 2^44 others
+#: are taken for one of them.
+KEY_BITS = 44
+#: Words whose weights are broadcast; characters of text that ask the shards together; of all
+#: texts for each shard.
+HOT_WORDS, BLOCK_CHARS, SHARD_CHARS = 65_536, 4_000_000, 16_000_000
+#: What tells words, pairs and trigrams of equal keys apart.
+WORDS, PAIRS, TRIGRAMS = 1 << 61, 1 << 62, 0
 
 
 def _joint(first: Column, second: Column) -> Column:
@@ -57,17 +69,6 @@ def _joint_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return (first << np.uint64(31) | first >> np.uint64(33)) ^ second
 
 
-def _short(key: Column) -> Column:
-    """A key's halves, one upon the other, as an int: of n keys, n in 2^32 others are taken
-    for one of them."""
-    folded = key.bitwiseXOR(F.shiftrightunsigned(key, 32)).bitwiseAND(F.lit(0xFFFFFFFF))
-    return (folded - F.lit(1 << 31)).cast("int")
-
-
-def _short_keys(keys: np.ndarray) -> np.ndarray:
-    return ((keys ^ keys >> np.uint64(32)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-
-
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     """What counts of 1, 2 and 3 or more give away, from the counts of counts."""
     n1, n2, n3, n4 = (max(1, n) for n in (n1, n2, n3, n4))
@@ -85,7 +86,7 @@ def _order(counts: DataFrame) -> DataFrame:
     shard = Window.partitionBy("context")
     once = F.row_number().over(shard.orderBy("key")) == 1
     total = F.sum("n").over(shard)
-    return counts.select(_short(F.col("context")).alias("context"), _short(F.col("key")).alias("key"), ((F.col("n") - off) / total).cast("float").alias("p"), F.when(once, F.sum(off).over(shard) / total).cast("float").alias("w"))
+    return counts.select("context", "key", ((F.col("n") - off) / total).cast("float").alias("p"), F.when(once, F.sum(off).over(shard) / total).cast("float").alias("w"))
 
 
 class _Hashes(dict):
@@ -94,6 +95,23 @@ class _Hashes(dict):
         return out
 
 
+def _tokens(texts: list[str | None], known: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of all words, with two at the beginning and one at the end of each text; places
+    of those that are predicted; numbers of words)."""
+    if len(known) > CACHE:
+        known.clear()
+    ids, sizes, get = [], [], known.__getitem__
+    for text in texts:
+        words = (text or "").encode().split()
+        sizes.append(len(words))
+        ids += [BEGIN, BEGIN, *map(get, words), END]
+    flat, sizes = np.array(ids, np.uint64), np.array(sizes, np.int64)
+    first = np.concatenate([[0], np.cumsum(sizes + 3)[:-1]]).astype(np.int64)
+    real = np.ones(len(flat), bool)
+    real[first], real[first + 1] = False, False
+    return flat, np.flatnonzero(real), sizes
+
+
 @dataclass
 class KneserNey:
     """For words, pairs and trigrams: sorted keys with their discounted probabilities; for
@@ -112,31 +130,19 @@ class KneserNey:
     def __setstate__(self, state: dict) -> None:
         arrays = np.load(io.BytesIO(state["packed"]))
         names = sorted({x.split("_")[0] for x in arrays.files})
-        self.tables = {n: (np.cumsum(arrays[f"{n}_0"], dtype=np.uint32), arrays[f"{n}_1"]) for n in names}
+        self.tables = {n: (np.cumsum(arrays[f"{n}_0"], dtype=np.uint64), arrays[f"{n}_1"]) for n in names}
         self.floor, self.known = state["floor"], _Hashes()
 
     def find(self, name: str, wanted: np.ndarray, missing: float) -> np.ndarray:
         keys, values = self.tables[name]
         if not len(keys):
             return np.full(len(wanted), missing)
-        wanted = _short_keys(wanted)
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return np.where(keys[at] == wanted, values[at].astype(np.float64), missing)
 
     def score(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(negative log-probabilities, numbers of words) of the texts."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        ids, sizes, get = [], [], self.known.__getitem__
-        for text in texts:
-            words = (text or "").encode().split()
-            sizes.append(len(words))
-            ids += [BEGIN, BEGIN, *map(get, words), END]
-        flat, sizes = np.array(ids, np.uint64), np.array(sizes, np.int64)
-        first = np.concatenate([[0], np.cumsum(sizes + 3)[:-1]]).astype(np.int64)
-        real = np.ones(len(flat), bool)
-        real[first], real[first + 1] = False, False
-        at = np.flatnonzero(real)
+        flat, at, sizes = _tokens(texts, self.known)
         a, b, c = flat[at - 2], flat[at - 1], flat[at]
         ab = _joint_keys(a, b)
         # An n-gram that was never seen is looked up in vain: its part is nought.
@@ -153,16 +159,26 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return agreed.where("q = 1 and t = 0").select("id")
 
 
+def _half(trusted: DataFrame) -> DataFrame:
+    """Those that the model is fitted on."""
+    return trusted.where(F.pmod(F.xxhash64("id"), F.lit(2)) == 0)
+
+
+def _trigrams(docs: DataFrame, text_col: str) -> DataFrame:
+    """(a, b, c): the hashes of three words in a row, repeats included."""
+    text = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    begin, end = F.lit(BEGIN).cast("long"), F.lit(END).cast("long")
+    ids = F.concat(F.array(begin, begin), F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.shiftrightunsigned(F.xxhash64(w), UPPER)), F.array(end))
+    return text.select(ids.alias("ids")).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("ids") - 2), lambda i: F.struct(F.element_at("ids", i).alias("a"), F.element_at("ids", i + 1).alias("b"), F.element_at("ids", i + 2).alias("c")))).alias("t")).select("t.*")
+
+
 def fit_model(docs: DataFrame, trusted: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", sample_words: int = SAMPLE_WORDS) -> tuple[KneserNey, DataFrame]:
     """(the model, the ids it was fitted on: at most `sample_docs`, of `sample_words`)."""
-    first = trusted.where(F.pmod(F.xxhash64("id"), F.lit(2)) == 0).orderBy(F.xxhash64("id"), "id").limit(sample_docs)
+    first = _half(trusted).orderBy(F.xxhash64("id"), "id").limit(sample_docs)
     sized = docs.join(F.broadcast(first), docs[id_col] == first["id"]).groupBy("id").agg(F.sum(n_words(F.col(text_col))).alias("n"))
     so_far = F.sum("n").over(Window.orderBy(F.xxhash64("id"), "id"))  # of at most `sample_docs` rows
     chosen = written(sized.select("id", so_far.alias("so_far")).where(F.col("so_far") <= sample_words).select("id"), "kn-sample")
-    text = docs.join(F.broadcast(chosen), docs[id_col] == chosen["id"], "left_semi").select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    begin, end = F.lit(BEGIN).cast("long"), F.lit(END).cast("long")
-    ids = F.concat(F.array(begin, begin), F.transform(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), lambda w: F.shiftrightunsigned(F.xxhash64(w), UPPER)), F.array(end))
-    rows = text.select(ids.alias("ids")).select(F.explode(F.transform(F.sequence(F.lit(1), F.size("ids") - 2), lambda i: F.struct(F.element_at("ids", i).alias("a"), F.element_at("ids", i + 1).alias("b"), F.element_at("ids", i + 2).alias("c")))).alias("t")).select("t.*")
+    rows = _trigrams(docs.join(F.broadcast(chosen), docs[id_col] == chosen["id"], "left_semi"), text_col)
     three = written(rows.groupBy("a", "b", "c").agg(F.count("*").alias("n")), "kn-trigrams")
     two = written(three.groupBy("b", "c").agg(F.count("*").alias("n")), "kn-pairs")
     one = written(two.groupBy("c").agg(F.count("*").alias("n")), "kn-words")
@@ -183,8 +199,180 @@ def fit_model(docs: DataFrame, trusted: DataFrame, sample_docs: int = SAMPLE_DOC
     return KneserNey(tables, floor), chosen
 
 
+# --- the whole model, in shards
+
+
+def _key(key: Column, order: int) -> Column:
+    return F.shiftrightunsigned(F.xxhash64(key.bitwiseXOR(F.lit(order).cast("long"))), 64 - KEY_BITS)
+
+
+def _key_array(keys: np.ndarray, order: int) -> np.ndarray:
+    """`_key` of an array: XXH64 of eight bytes, seed 42, and its upper bits."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
+    h = turn((keys ^ np.uint64(order)) * p2, 31) * p1 ^ np.array([SEED + 8], np.uint64) + p5
+    h = turn(h, 27) * p1 + p4
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    return (h ^ h >> np.uint64(32)) >> np.uint64(64 - KEY_BITS)
+
+
+def _off(n: Column, d: list[float]) -> Column:
+    return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
+
+
+def fit_weights(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, float]:
+    """(key and weight of all n-grams, of which equal keys add up; key and weight of the most
+    common words; the probability of a word that was never seen), fitted on all of `docs`."""
+    rows = _trigrams(docs, text_col).select(*[F.col(c).cast("int").alias(c) for c in "abc"])
+    counts = rows.repartition("b").groupBy("a", "b", "c").agg(F.count("*").cast("int").alias("n"))
+    context, pair, middle = Window.partitionBy("b", "a"), Window.partitionBy("b", "c"), Window.partitionBy("b")
+    some = lambda n, over, name: [F.sum(n).over(over).alias(f"{name}_total"), *[F.sum((test).cast("int")).over(over).alias(f"{name}_{k}") for k, test in enumerate((n == 1, n == 2, n >= 3), 1)]]
+    three = counts.select("*", *some(F.col("n"), context, "ab"), (F.row_number().over(context.orderBy("c")) == 1).alias("new_ab"))
+    three = three.select("*", F.count("*").over(pair).alias("pairs"), (F.row_number().over(pair.orderBy("a")) == 1).alias("new_bc"))
+    three = three.withColumn("m", F.when(F.col("new_bc"), F.col("pairs")))
+    three = three.select("*", *some(F.col("m"), middle, "b"), (F.row_number().over(middle.orderBy("a", "c")) == 1).alias("new_b"))
+    three = written(three, "kn-trigrams")
+    words = written(three.where("new_bc").groupBy("c").agg(F.count("*").alias("n1")), "kn-words")
+    of = lambda n: [F.count(F.when(n == k, 1)) for k in (1, 2, 3, 4)]
+    d3, d2 = (discounts(*x) for x in (lambda r: (r[:4], r[4:]))(three.agg(*of(F.col("n")), *of(F.col("m"))).first()))
+    *found, total, known = words.agg(*of(F.col("n1")), F.sum("n1"), F.count("*")).first()
+    if not known:
+        return three.select(F.lit(0).cast("long").alias("key"), F.lit(0.0).cast("float").alias("weight")).limit(0), words.select(F.col("n1").alias("key"), F.lit(0.0).alias("weight")).limit(0), 1.0
+    d1 = discounts(*found)
+    floor = words.agg(F.sum(_off(F.col("n1"), d1))).first()[0] / total / (known + 1)
+    words = words.select("c", "n1", ((F.col("n1") - _off(F.col("n1"), d1)) / total + floor).alias("p1"))
+    left = lambda name, d: F.expr(" + ".join(f"{x!r}D * {name}_{k}" for k, x in enumerate(d, 1)))
+    a, b, c = (F.col(x).cast("long") for x in "abc")
+    w1 = left("b", d2) / F.col("b_total")
+    p2, w2 = (F.col("pairs") - _off(F.col("pairs"), d2)) / F.col("b_total"), left("ab", d3) / F.col("ab_total")
+    p3 = (F.col("n") - _off(F.col("n"), d3)) / F.col("ab_total")
+    entry = lambda key, order, weight: F.struct(_key(key, order).alias("key"), weight.cast("float").alias("weight"))
+    unfold = lambda df, *entries: df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+    ab = _joint(a, b)
+    # Only what depends on a single word's probability goes through the join.
+    sent = three.select("c", _joint(ab, c).alias("abc"), (p3 / w2).cast("float").alias("r3"), p2.cast("float").alias("p2"), w1.cast("float").alias("w1"), F.when(F.col("new_bc"), _joint(b, c)).alias("bc"))
+    low, joined = F.col("w1") * F.col("p1"), sent.join(words.select("c", "p1"), "c")
+    lower = unfold(joined, entry(F.col("abc"), TRIGRAMS, F.log1p(F.col("r3") / (F.col("p2") + low))), F.when(F.col("bc").isNotNull(), entry(F.col("bc"), PAIRS, F.log1p(F.col("p2") / low))))
+    contexts = unfold(three.where("new_ab or new_b"), F.when(F.col("new_ab"), entry(ab, PAIRS, F.log(w2))), F.when(F.col("new_b"), entry(b, WORDS, F.log(w1))))
+    single = words.select(_key(c, WORDS).alias("key"), F.log(F.col("p1") / floor).cast("float").alias("weight"))
+    weights = lower.unionByName(contexts).unionByName(single)
+    common = F.broadcast(words.orderBy(F.desc("n1"), "c").limit(HOT_WORDS).select("c", "p1"))
+    left_by = three.where("new_b").select(b.alias("c"), F.log(w1).alias("left"))
+    hot = left_by.join(common, "c", "right").select(_key(c, WORDS).alias("key"), (F.log(F.col("p1") / floor) + F.coalesce("left", F.lit(0.0))).alias("weight"))
+    return weights, hot.groupBy("key").agg(F.sum("weight").alias("weight")), floor
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Equal places of all numbers together, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).reshape(n)
+
+
+def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, nought where there is none; whether there is one)."""
+    if not len(keys):
+        return np.zeros(len(wanted)), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    there = keys[at] == wanted
+    return np.where(there, values[at], 0.0), there
+
+
+ASKED = "shard int, block long, n long, keys binary, docs binary, sums binary"
+
+
+def score_texts(docs: DataFrame, weights: DataFrame, hot: DataFrame, floor: float, text_col: str = "text") -> DataFrame:
+    """(hash, nll, n_tokens) of the different texts, by a join of their n-grams with `weights`.
+    Texts ask in blocks; a block's row of n = 0 holds its texts' hashes, sizes and sums so far."""
+    spark = docs.sparkSession
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    shards = 16 + chars // SHARD_CHARS
+    table = hot.toArrow()  # at most `HOT_WORDS` rows
+    keys, values = table.column("key").to_numpy().astype(np.uint64), table.column("weight").to_numpy()
+    order = np.argsort(keys)
+    shared = spark.sparkContext.broadcast((keys[order], values[order]))
+    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), *[(c, pa.binary()) for c in ("keys", "docs", "sums")]])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, place = _Hashes(), TaskContext.get().partitionId()
+        for block_no, part in enumerate(_blocks(batches)):
+            flat, at, sizes = _tokens(part, known)
+            a, b, c = flat[at - 2], flat[at - 1], flat[at]
+            ab, doc, every = _joint_keys(a, b), np.repeat(np.arange(len(part)), sizes + 1), np.arange(len(part))
+            begin = np.full(len(part), BEGIN, np.uint64)
+            words, of = _key_array(np.concatenate([c, begin]), WORDS), np.concatenate([doc, every])
+            found, there = _find(*shared.value, words)
+            sums = np.log(floor) * (sizes + 1) + np.bincount(of, found, len(part))
+            rest = _key_array(np.concatenate([_joint_keys(b, c), _joint_keys(begin, begin)]), PAIRS)
+            keys = np.concatenate([words[~there], rest, _key_array(_joint_keys(ab, c), TRIGRAMS)])
+            of = np.concatenate([of[~there], of, doc]).astype(np.uint32)
+            order = np.argsort(keys, kind="stable")
+            keys, of = keys[order], of[order]
+            hashes = np.array([xxhash.xxh64_intdigest(t, SEED) for t in part], np.uint64)
+            block = xxhash.xxh64_intdigest(hashes.tobytes() + f"{place},{block_no}".encode(), SEED) >> 1
+            rows = [(int(block % shards), block, 0, hashes.tobytes(), sizes.tobytes(), sums.tobytes())]
+            to = np.searchsorted(keys * np.uint64(shards) >> np.uint64(KEY_BITS), np.arange(shards + 1, dtype=np.uint64))
+            for shard, (i, j) in enumerate(zip(to[:-1], to[1:], strict=True)):
+                if i < j:
+                    rows.append((shard, block, int(j - i), _packed(np.diff(keys[i:j], prepend=np.uint64(0))), _packed(of[i:j]), None))
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+        keys, values = model.column("key").to_numpy().astype(np.uint64), model.column("weight").to_numpy()
+        order = np.argsort(keys)
+        keys, values = keys[order], values[order]
+        if len(keys):
+            first = np.flatnonzero(np.diff(keys, prepend=keys[0] + np.uint64(1)))
+            keys, values = keys[first], np.add.reduceat(values, first)
+        rows = []
+        for shard, block, n, wanted, docs, sums in zip(*(c.to_pylist() for c in asked.select(schema.names).columns), strict=True):
+            if n:
+                of = _unpacked(docs, n, np.uint32)
+                found, there = _find(keys, values, np.cumsum(_unpacked(wanted, n, np.uint64), dtype=np.uint64))
+                if not there.any():
+                    continue
+                which, at = np.unique(of[there], return_inverse=True)
+                docs, sums, n, wanted = _packed(which), np.bincount(at, found[there]).astype(np.float32).tobytes(), len(which), None
+            rows.append((shard, block, n, wanted, docs, sums))
+        columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def total(answers: pa.Table) -> pa.Table:
+        rows = list(zip(*(answers.column(c).to_pylist() for c in ("n", "keys", "docs", "sums")), strict=True))
+        _, hashes, sizes, sums = next(r for r in rows if not r[0])
+        sums = np.frombuffer(sums).copy()
+        for n, _, docs, part in rows:
+            if n:
+                sums[_unpacked(docs, n, np.uint32)] += np.frombuffer(part, np.float32)
+        return pa.table({"hash": np.frombuffer(hashes, np.int64), "nll": -sums, "n_tokens": np.frombuffer(sizes, np.int64)})
+
+    dealt = weights.select(F.shiftright(F.col("key") * F.lit(shards), KEY_BITS).cast("int").alias("shard"), "key", "weight")
+    answers = texts.mapInArrow(ask, ASKED).groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(answer, ASKED)
+    by_block = answers.groupBy("block").applyInArrow(total, "hash long, nll double, n_tokens long")
+    return by_block.groupBy("hash").agg(F.min("nll").alias("nll"), F.min("n_tokens").alias("n_tokens"))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
+    part, size = [], 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            if part and size + len(text) > BLOCK_CHARS:
+                yield part
+                part, size = [], 0
+            part.append(text)
+            size += len(text) + 16
+    if part:
+        yield part
+
+
 def _sorted(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = (keys.astype(np.int64) + (1 << 31)).astype(np.uint32)
+    keys = keys.view(np.uint64)
     order = np.argsort(keys)
     return keys[order], values[order].astype(np.float32)
 
@@ -209,15 +397,18 @@ def score_documents(docs: DataFrame, model: KneserNey, text_col: str = "text") -
     return docs.mapInArrow(run, schema)
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, prior_words: float = PRIOR_WORDS, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", columns: list[str] | None = None, least_held: float | None = None, sample_words: int = SAMPLE_WORDS) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, prior_words: float = PRIOR_WORDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", columns: list[str] | None = None, least_held: float | None = None) -> DataFrame:
     """`docs` (or their `columns`) with n_tokens, score, perplexity, threshold and keep."""
     least_held = 1 / max(1 - quantile, 1e-6) if least_held is None else least_held
     trusted = written(trusted_ids(labels, id_col), "kn-trusted")
-    model, chosen = fit_model(docs, trusted, sample_docs, id_col, text_col, sample_words)
-    scored = score_documents(docs, model, text_col)
+    half = _half(trusted)
+    fitted = docs.join(half, docs[id_col] == half["id"], "left_semi")
+    nll = written(score_texts(docs, *fit_weights(fitted, text_col), text_col), "kn-nll")
     kept = [c for c in (columns or docs.columns) if c.lower() not in ADDED]
-    scored = written(scored.select(*kept, "nll", "n_tokens"), "kn-scored")
-    held = trusted.join(F.broadcast(chosen), "id", "left_anti")  # at most `sample_docs` rows
+    mark = free_name(docs, "text_hash")
+    by_text = docs.select(*kept, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias(mark))
+    scored = written(spread_join(by_text, nll.withColumnRenamed("hash", mark), mark).select(*kept, "nll", "n_tokens"), "kn-scored")
+    held = trusted.where(F.pmod(F.xxhash64("id"), F.lit(2)) != 0)
     held = scored.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), "nll", "n_tokens").join(held, "id", "left_semi")
     rate = F.try_divide(F.sum("nll"), F.sum(F.col("n_tokens") + 1))
     means = held.groupBy("lang").agg(rate.alias("mean"))
@@ -237,4 +428,4 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, pri
     return judged.select(*kept, "n_tokens", "score", "perplexity", "threshold", "keep")
 
 
-__all__ = ["KneserNey", "classify", "fit_model", "score_documents", "trusted_ids"]
+__all__ = ["KneserNey", "classify", "fit_model", "fit_weights", "score_documents", "score_texts", "trusted_ids"]

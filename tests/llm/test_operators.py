@@ -259,6 +259,36 @@ def test_sample_is_bounded_by_words(spark):
     assert 0 < 4 * chosen.count() <= 60 and 3 not in {r["id"] for r in chosen.collect()}
 
 
+def test_classifier_is_fitted_on_all_trusted_documents(spark):
+    """Of more documents than a sample holds, and over several blocks and shards: the scores
+    are those of a model in memory that saw every trusted document of the half."""
+    rng = random.Random(4)
+    common = ["w" + str(i) for i in range(300)]
+    rows = [(i, " ".join([*rng.choices(common, k=rng.randint(1, 6)), f"rare{i % 9000}", *rng.choices(common[:9], k=2)]), "en") for i in range(13_000)]
+    rows += [(13_000, None, "en"), (13_001, " ", "en"), (13_002, rows[5][1], None), (13_003, "unseen words", "en")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = docs.where("doc_id < 13000").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    model, chosen = quality_classifier.fit_model(docs, quality_classifier.trusted_ids(labels), sample_docs=20_000)
+    assert chosen.count() > quality_classifier.SAMPLE_DOCS
+    nll, n = model.score([r[1] for r in rows])
+    before, quality_classifier.BLOCK_CHARS, quality_classifier.SHARD_CHARS, quality_classifier.HOT_WORDS = (quality_classifier.BLOCK_CHARS, quality_classifier.SHARD_CHARS, quality_classifier.HOT_WORDS), 20_000, 100_000, 40
+    try:
+        half = quality_classifier._half(quality_classifier.trusted_ids(labels))
+        weights = quality_classifier.fit_weights(docs.join(half, docs["doc_id"] == half["id"], "left_semi"))
+        got = {r["hash"]: r for r in quality_classifier.score_texts(docs, *weights).collect()}
+        judged = {r["doc_id"]: r for r in quality_classifier.classify(docs, labels).collect()}
+    finally:
+        quality_classifier.BLOCK_CHARS, quality_classifier.SHARD_CHARS, quality_classifier.HOT_WORDS = before
+    hashed = {r["doc_id"]: r["h"] for r in docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    for i, r in enumerate(rows):
+        assert math.isclose(got[hashed[r[0]]]["nll"], nll[i], rel_tol=1e-6) and got[hashed[r[0]]]["n_tokens"] == n[i]
+    chosen = {r["id"] for r in chosen.collect()}
+    at = [i for i in range(13_000) if i not in chosen]
+    mean = nll[at].sum() / (n[at] + 1).sum()
+    assert len(judged) == len(rows)
+    assert all(math.isclose(judged[r[0]]["score"], (nll[i] + 20 * mean) / (n[i] + 21), rel_tol=1e-6) for i, r in enumerate(rows) if r[2])
+
+
 def test_classifier_edges(spark, corpus):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(3, 0, 1), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     df = corpus[0].withColumn("score", F.lit("mine"))
