@@ -7,6 +7,7 @@ says. Numbers are compared as they are written, objects whatever the order of th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import zip_longest
 from typing import Any
 
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.errors import PatchError
-from docloom.operators.nodes import Number, dump_json, node_table, parse_json
+from docloom.operators.nodes import Number, dump_json, parse_json
 from docloom.paths import pointer, pointer_parts, ref
 
 
@@ -42,41 +43,59 @@ def diff_rows(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return joined.select(*[F.coalesce(F.col(f"l.`{k}`"), F.col(f"r.`{k}`")).alias(k) for k in keys], F.explode(ops).alias("e")).select(*[ref(k) for k in keys], "e.*")
 
 
+class Missing:
+    """Stands, as the class itself, for a value that isn't there."""
+
+
+def _text(value: Any) -> str | None:
+    return None if value is Missing else dump_json(value)
+
+
+def differences(left: Any, right: Any) -> Iterator[tuple[str, str, Any, Any]]:
+    """(op, pointer, old, new) of the topmost differences, without recursion; what is removed
+    comes first, from the highest index down, so that places hold."""
+    stack, removed, rest = [("", left, right)], [], []
+    while stack:
+        at, a, b = stack.pop()
+        if type(a) is dict and type(b) is dict:
+            keys = [*a, *[k for k in b if k not in a]]
+            stack += [(at + pointer([k]), a.get(k, Missing), b.get(k, Missing)) for k in reversed(keys)]
+        elif type(a) is list and type(b) is list:
+            stack += [(f"{at}/{i}", x, y) for i, (x, y) in reversed(list(enumerate(zip_longest(a, b, fillvalue=Missing))))]
+        elif b is Missing:
+            if a is not Missing:
+                removed.append(("remove", at, a, b))
+        elif a is Missing:
+            rest.append(("add", at, a, b))
+        elif type(a) is not type(b) or a != b:
+            rest.append(("replace", at, a, b))
+    yield from reversed(removed)
+    yield from rest
+
+
 def diff_documents(left: DataFrame, right: DataFrame, id_col: str = "id", text_col: str = "doc") -> DataFrame:
     """(id, seq, op, path, from, value): what makes the right document of an id from the
-    left one, by joining node tables on id and pointer and keeping the topmost differences."""
-    sides = []
-    for docs in (left, right):
-        nodes = node_table(docs, id_col, text_col).where("error is null")
-        sides.append(nodes.select("id", "pointer", "parent", "seq", "depth", F.when(F.col("kind") == "value", F.col("raw")).otherwise(F.col("kind")).alias("is")))
-    joined = sides[0].alias("l").join(sides[1].alias("r"), ["id", "pointer"], "full_outer")
-    nodes = joined.select("id", "pointer", F.coalesce("l.parent", "r.parent").alias("parent"), F.coalesce("l.depth", "r.depth").alias("depth"), F.coalesce("l.seq", "r.seq").alias("seq"), F.col("l.is").alias("a"), F.col("r.is").alias("b"))
-    differs = nodes.where(~F.col("a").eqNullSafe(F.col("b")))
-    above = differs.select("id", F.col("pointer").alias("parent")).distinct()
-    top = differs.join(above, ["id", "parent"], "left_anti")
-    op = F.when(F.col("a").isNull(), "add").when(F.col("b").isNull(), "remove").otherwise("replace")
-    value_at = lambda docs, name: docs.select(F.col(id_col).alias("id"), F.col(text_col).alias(name))
-    top = top.select("id", "pointer", "depth", "seq", op.alias("op"))
-    both = top.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "pointer", "depth"))).alias("ops"))
-    both = both.join(value_at(left, "l"), "id", "left").join(value_at(right, "r"), "id", "left")
+    left one. Only documents are shuffled: those of an id meet once, and equal texts go no
+    further. What isn't JSON counts as missing."""
+    side = lambda docs: docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("doc"))
+    both = side(left).alias("l").join(side(right).alias("r"), F.col("l.id") == F.col("r.id"), "full_outer").where(~F.col("l.doc").eqNullSafe(F.col("r.doc")))
+    both = both.select(F.coalesce("l.id", "r.id").alias("id"), F.col("l.doc").alias("l"), F.col("r.doc").alias("r"))
     kind = left.schema[id_col].dataType.simpleString()
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def parsed(text: str | None) -> Any:
+        try:
+            return Missing if text is None else parse_json(text)
+        except (ValueError, RecursionError):
+            return Missing
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple] = []
-            for key, ops, a, b in zip(*(batch.column(c).to_pylist() for c in ("id", "ops", "l", "r")), strict=True):
-                a, b = (None if x is None else parse_json(x) for x in (a, b))
-                # Elements are removed from the highest index down, so that places hold.
-                removed = sorted((o for o in ops if o["op"] == "remove"), key=lambda o: [(0, int(p), "") if p.isdigit() else (1, 0, p) for p in pointer_parts(o["pointer"])], reverse=True)
-                for n, o in enumerate([*removed, *[o for o in ops if o["op"] != "remove"]]):
-                    old = dump_json(read(a, o["pointer"])) if o["op"] != "add" else None
-                    new = dump_json(read(b, o["pointer"])) if o["op"] != "remove" else None
-                    rows.append((key, n, o["op"], o["pointer"], old, new))
+            rows = [(key, n, op, at, _text(old), _text(new)) for key, a, b in zip(*(batch.column(c).to_pylist() for c in ("id", "l", "r")), strict=True) for n, (op, at, old, new) in enumerate(differences(parsed(a), parsed(b)))]
             if rows:
                 columns = zip(zip(*rows, strict=True), (batch.schema.field("id").type, pa.int64(), *[pa.string()] * 4), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=["id", "seq", "op", "path", "from", "value"])
 
-    return both.mapInArrow(fill, f"id {kind}, seq bigint, op string, path string, `from` string, value string")
+    return both.mapInArrow(compare, f"id {kind}, seq bigint, op string, path string, `from` string, value string")
 
 
 def patches(diffs: DataFrame) -> DataFrame:

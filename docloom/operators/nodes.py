@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -37,9 +38,12 @@ def _refuse(name: str):
     raise ValueError(f"{name} is not JSON")
 
 
+_DECODER = json.JSONDecoder(parse_float=Number, parse_int=Number, parse_constant=_refuse)
+
+
 def parse_json(text: str) -> Any:
     """Strict, with numbers kept as text."""
-    return json.loads(text.removeprefix("﻿"), parse_float=Number, parse_int=Number, parse_constant=_refuse)
+    return _DECODER.decode(text.removeprefix("\ufeff"))
 
 
 def dump_json(value: Any, pretty: bool = False, depth: int = 0) -> str:
@@ -56,40 +60,56 @@ def dump_json(value: Any, pretty: bool = False, depth: int = 0) -> str:
     return compact(value)
 
 
+TYPES = {dict: "object", list: "array", bool: "boolean", Number: "number", str: "string", type(None): "null"}
+
+
 def type_of(value: Any) -> str:
-    if value is None:
-        return "null"
-    return {dict: "object", list: "array", bool: "boolean", Number: "number", str: "string"}[type(value)]
+    return TYPES[type(value)]
+
+
+@lru_cache(maxsize=10_000)
+def _steps(key: str) -> tuple[str, str]:
+    """How a pointer and a generalised path go on to a member."""
+    return pointer([key]), member(key)
 
 
 def walk(value: Any) -> Iterator[tuple]:
     """The nodes of a parsed document in document order, without recursion."""
-    stack: list[tuple[Any, list, str | None, str, str | None]] = [(value, [], None, "$", None)]
+    stack: list[tuple[Any, str, str | None, str, int, str | None]] = [(value, "", None, "$", 0, None)]
     seq = 0
     while stack:
-        v, path, parent, gpath, key = stack.pop()
-        here, kind = pointer(path), type_of(v)
-        nested = isinstance(v, (dict, list))
-        yield seq, here, parent, gpath, len(path), kind if nested else "value", key, kind, None if nested else dump_json(v), v if kind == "string" else None, len(v) if nested else None, None
+        v, here, parent, gpath, depth, key = stack.pop()
+        kind = type_of(v)
+        if kind == "object":
+            yield seq, here, parent, gpath, depth, kind, key, kind, None, None, len(v), None
+            for k in reversed(v):
+                at, on = _steps(k)
+                stack.append((v[k], here + at, here, gpath + on, depth + 1, k))
+        elif kind == "array":
+            yield seq, here, parent, gpath, depth, kind, key, kind, None, None, len(v), None
+            stack += [(v[i], f"{here}/{i}", here, f"{gpath}[*]", depth + 1, None) for i in range(len(v) - 1, -1, -1)]
+        else:
+            yield seq, here, parent, gpath, depth, "value", key, kind, str(v) if kind == "number" else compact(v), v if kind == "string" else None, None, None
         seq += 1
-        if isinstance(v, dict):
-            stack += [(x, [*path, k], here, gpath + member(k), k) for k, x in reversed(v.items())]
-        elif isinstance(v, list):
-            stack += [(x, [*path, i], here, f"{gpath}[*]", None) for i, x in reversed(list(enumerate(v)))]
 
 
-def node_table(docs: DataFrame, id_col: str = "id", text_col: str = "doc") -> DataFrame:
-    """The nodes of all documents. Null texts have none."""
+def node_table(docs: DataFrame, id_col: str = "id", text_col: str = "doc", columns: tuple[str, ...] | None = None) -> DataFrame:
+    """The nodes of all documents, or only their `columns`, as Spark can't tell the parser
+    which are wanted. Null texts have none."""
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", *[f.split(" ")[0] for f in FIELDS]]
+    every = ["id", *[f.split(" ")[0] for f in FIELDS]]
+    names = [n for n in every if columns is None or n in columns]
+    wanted = [every.index(n) for n in names]
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            schema = pa.schema([("id", batch.schema.field(0).type), *[(f.split(" ")[0], {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[f.split(" ")[1]]) for f in FIELDS]])
+            types = [batch.schema.field(0).type, *[arrow[f.split(" ")[1]] for f in FIELDS]]
             rows: list[tuple] = []
 
-            def flush(rows: list[tuple], schema: pa.Schema = schema) -> pa.RecordBatch:
-                return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+            def flush(rows: list[tuple], types: list[pa.DataType] = types) -> pa.RecordBatch:
+                found = list(zip(*rows, strict=True))
+                return pa.RecordBatch.from_arrays([pa.array(found[i], types[i]) for i in wanted], names=names)
 
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if text is None:
@@ -107,4 +127,4 @@ def node_table(docs: DataFrame, id_col: str = "id", text_col: str = "doc") -> Da
             if rows:
                 yield flush(rows)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("doc")).mapInArrow(run, f"id {kind}, {', '.join(FIELDS)}").select(*names)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("doc")).mapInArrow(run, ", ".join(x for x in (f"id {kind}", *FIELDS) if x.split(" ")[0] in names))

@@ -15,8 +15,7 @@ DECIMAL = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
 UNDEFINED = "__undefined__"
 
 
-def compact(value: Any) -> str:
-    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+compact = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
 
 
 def literal(value: Any) -> Column:

@@ -1,5 +1,6 @@
 """Node table, profile, schema, validation, diff, patch, embedded JSON, render."""
 
+import collections
 import json
 
 import pytest
@@ -87,6 +88,34 @@ def test_diff_paths(spark):
     assert got == {("replace", "/user/id", "1", "2"), ("add", "/ok", None, "true")}
 
 
+def test_diff_shuffles_documents_only(spark):
+    """Documents meet once by id, not node by node; what stands on one side only, or isn't
+    JSON there, is added or removed whole; duplicate members and equal texts are no trouble."""
+    left = [(1, '{"a":[1,2,3,4],"k":{"x":1}}'), (2, "[1]"), (3, "{"), (4, "{}"), (5, None), (6, '{"a":1,"a":2}'), (7, "{"), (None, "1")]
+    right = [(1, '{"k":{"x":1.0},"a":[1],"z":null}'), (3, "[]"), (4, "{}"), (5, "0"), (6, '{"a":2}'), (7, "{"), (8, '"s"')]
+    frames = [spark.createDataFrame(x, "id bigint, doc string") for x in (left, right)]
+    found = diff.diff_documents(*frames)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = collections.defaultdict(list)
+    for r in sorted(found.collect(), key=lambda r: r["seq"]):
+        got[r["id"]].append((r["op"], r["path"], r["from"], r["value"]))
+    assert dict(got) == {
+        1: [("remove", "/a/3", "4", None), ("remove", "/a/2", "3", None), ("remove", "/a/1", "2", None), ("replace", "/k/x", "1", "1.0"), ("add", "/z", None, "null")],
+        2: [("remove", "", "[1]", None)],
+        3: [("add", "", None, "[]")],
+        5: [("add", "", None, "0")],
+        8: [("add", "", None, '"s"')],
+        None: [("remove", "", "1", None)],
+    }
+
+
+def test_node_columns(spark):
+    docs = spark.createDataFrame([(1, '{"a":[1,{"a b":"x\\u00e9"}]}'), (2, "{"), (3, None)], "id bigint, doc string")
+    every, some = node_table(docs), node_table(docs, columns=("key", "raw"))
+    assert some.columns == ["key", "raw"] and some.collect() == every.select("key", "raw").collect()
+    assert [r["gpath"] for r in every.where("error is null").orderBy("seq").collect()] == ["$", "$.a", "$.a[*]", "$.a[*]", '$.a[*]["a b"]']
+
+
 def test_apply_patch():
     ops = '[{"op":"replace","path":"/users/0/id","value":1},{"op":"add","path":"/users/-","value":{"id":3}},{"op":"test","path":"/active","value":true},{"op":"copy","from":"/users/1","path":"/backup"},{"op":"move","from":"/active","path":"/on"}]'
     assert json.loads(diff.apply_patch('{"users":[{"id":0},{"id":2}],"active":true}', ops)) == {"users": [{"id": 1}, {"id": 2}, {"id": 3}], "backup": {"id": 2}, "on": True}
