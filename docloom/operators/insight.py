@@ -43,30 +43,41 @@ def property_counts(nodes: DataFrame) -> DataFrame:
     return nodes.where("key is not null").groupBy(F.col("key").alias("field")).agg(F.count("*").alias("n"))
 
 
+def _events() -> Column:
+    steps = F.when(F.col("kind") == "value", 1).otherwise(2) + F.col("key").isNotNull().cast("int")
+    return F.coalesce(F.sum(steps), F.lit(0)).alias("events")
+
+
 def event_count(nodes: DataFrame) -> DataFrame:
     """One row: `events`, the steps of a walk that enters and leaves each container and meets
     each property name and each primitive value."""
-    steps = F.when(F.col("kind") == "value", 1).otherwise(2) + F.col("key").isNotNull().cast("int")
-    return nodes.where("error is null").agg(F.coalesce(F.sum(steps), F.lit(0)).alias("events"))
+    return nodes.where("error is null").agg(_events())
 
 
-def top_fields(nodes: DataFrame, most: int = 40) -> DataFrame:
+def top_fields(nodes: DataFrame, most: int = 40, examples: int = 3) -> DataFrame:
     """The fields that occur most often, ties by name."""
-    return field_stats(nodes).orderBy(F.desc("occurrences"), "field").limit(most)
+    return field_stats(nodes, examples).orderBy(F.desc("occurrences"), "field").limit(most)
 
 
 def field_stats(nodes: DataFrame, examples: int = 3) -> DataFrame:
     """Per property name, at whatever depth: occurrences, missing (objects without it), the
-    types of its primitive values, whether they are several, and its first examples."""
-    objects = nodes.agg(F.count_if(F.col("kind") == "object").alias("objects"))  # one row
-    named = nodes.where("key is not null")
+    types of its primitive values, whether they are several, and its first examples (which
+    take a pass of their own, unless there are to be none)."""
     value = F.col("kind") == "value"
-    stats = named.groupBy("key").agg(F.count("*").alias("occurrences"), F.array_sort(F.collect_set(F.when(value, F.col("type")))).alias("types"))
-    # Ranks are limited in every task before they are shuffled, so a common name is no burden.
-    place = F.row_number().over(Window.partitionBy("key").orderBy("id", "seq"))
-    first = named.where("kind = 'value' and type <> 'null'").select("key", "raw", place.alias("place")).where(F.col("place") <= examples)
-    first = first.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "raw"))), lambda x: x["raw"]).alias("examples"))
-    out = stats.join(first, "key", "left").crossJoin(F.broadcast(objects))
+    # The null key's row counts what has no name: it holds the root's and elements' objects.
+    every = nodes.groupBy("key").agg(F.count("*").alias("occurrences"), F.count_if(F.col("kind") == "object").alias("n"), F.array_sort(F.collect_set(F.when(value, F.col("type")))).alias("types"))
+    every = every.persist()  # a row per name; both its uses read it, so that documents are parsed once
+    objects = every.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("objects"))  # one row
+    out = every.where("key is not null").crossJoin(F.broadcast(objects))
+    if examples:
+        named = nodes.where("key is not null")
+        # Ranks are limited in every task before they are shuffled, so a common name is no burden.
+        place = F.row_number().over(Window.partitionBy("key").orderBy("id", "seq"))
+        first = named.where("kind = 'value' and type <> 'null'").select("key", "raw", place.alias("place")).where(F.col("place") <= examples)
+        first = first.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "raw"))), lambda x: x["raw"]).alias("examples"))
+        out = out.join(first, "key", "left")
+    else:
+        out = out.withColumn("examples", F.lit(None).cast("array<string>"))
     return out.select(F.col("key").alias("field"), "occurrences", (F.col("objects") - F.col("occurrences")).alias("missing"), "types", (F.size("types") > 1).alias("inconsistent"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 
 

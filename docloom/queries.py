@@ -156,8 +156,8 @@ def embedded_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 NESTED = """concat('{"id":', o_orderkey, ',"customer":{"id":', o_custkey, ',"a.b":"', o_orderstatus, '"},"items":[', CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '{"n":1}' ELSE '{"n":1.50},null' END, ']}')"""
 
 
-def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return node_table(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(NESTED).alias("doc")))
+def _nested(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return node_table(_table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(NESTED).alias("doc")), columns=columns or None)
 
 
 def nested_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,7 +184,7 @@ def nested_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nested_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The forty fields that occur most often."""
-    return insight.top_fields(_nested(spark, sf_dir)).select("field", "occurrences", "missing", F.array_join("types", ",").alias("types"), "inconsistent")
+    return insight.top_fields(_nested(spark, sf_dir, "key", "kind", "type"), examples=0).select("field", "occurrences", "missing", F.array_join("types", ",").alias("types"), "inconsistent")
 
 
 def nested_names(spark: SparkSession, sf_dir: str) -> DataFrame:

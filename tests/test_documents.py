@@ -109,6 +109,19 @@ def test_diff_shuffles_documents_only(spark):
     }
 
 
+def counted(spark, *texts):
+    """(the nodes of documents, how many documents were parsed for them)."""
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, doc string")
+    return node_table(docs.mapInArrow(run, docs.schema)), read
+
+
 def test_node_columns(spark):
     docs = spark.createDataFrame([(1, '{"a":[1,{"a b":"x\\u00e9"}]}'), (2, "{"), (3, None)], "id bigint, doc string")
     every, some = node_table(docs), node_table(docs, columns=("key", "raw"))
@@ -116,6 +129,15 @@ def test_node_columns(spark):
     assert [r["gpath"] for r in every.where("error is null").orderBy("seq").collect()] == ["$", "$.a", "$.a[*]", "$.a[*]", '$.a[*]["a b"]']
 
 
+def test_fields_without_examples(spark):
+    nodes, read = counted(spark, '{"a":[1,{"a":null}],"b":{}}', '{"b":"x"}')
+    plain, full = insight.top_fields(nodes, examples=0), insight.top_fields(nodes)
+    plain.collect()
+    assert read.value == 2
+    assert plain.drop("examples").collect() == full.drop("examples").collect()
+    assert {r["field"]: (r["occurrences"], r["missing"], r["types"]) for r in plain.collect()} == {"a": (2, 2, ["null"]), "b": (2, 2, ["string"])}
+
+
 def test_apply_patch():
     ops = '[{"op":"replace","path":"/users/0/id","value":1},{"op":"add","path":"/users/-","value":{"id":3}},{"op":"test","path":"/active","value":true},{"op":"copy","from":"/users/1","path":"/backup"},{"op":"move","from":"/active","path":"/on"}]'
     assert json.loads(diff.apply_patch('{"users":[{"id":0},{"id":2}],"active":true}', ops)) == {"users": [{"id": 1}, {"id": 2}, {"id": 3}], "backup": {"id": 2}, "on": True}
