@@ -13,8 +13,9 @@ from docloom.semantics import is_nested
 SCHEMA_URI = "https://json-schema.org/draft/2020-12/schema"
 
 
-def profile(nodes: DataFrame) -> DataFrame:
-    """One row: documents, objects, arrays, primitives, max_depth (of containers, the root 0)."""
+def profile(nodes: DataFrame, events: bool = False) -> DataFrame:
+    """One row: documents, objects, arrays, primitives, max_depth (of containers, the root 0),
+    and, if wanted, `events` as `event_count` has it, found in the same pass."""
     n = lambda kind: F.count_if(F.col("kind") == kind)
     return nodes.where("error is null").agg(
         F.count_if(F.col("parent").isNull()).alias("documents"),
@@ -22,6 +23,7 @@ def profile(nodes: DataFrame) -> DataFrame:
         n("array").alias("arrays"),
         n("value").alias("primitives"),
         F.coalesce(F.max(F.when(F.col("kind") != "value", F.col("depth"))), F.lit(0)).alias("max_depth"),
+        *[_events()] * events,
     )
 
 

@@ -161,8 +161,7 @@ def _nested(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 def nested_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _nested(spark, sf_dir)
-    return insight.profile(nodes).crossJoin(insight.event_count(nodes))  # one row each
+    return insight.profile(_nested(spark, sf_dir, "parent", "kind", "depth", "key", "error"), events=True)
 
 
 def nested_schema(spark: SparkSession, sf_dir: str) -> DataFrame:

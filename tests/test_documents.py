@@ -5,13 +5,15 @@ import json
 
 import pytest
 
-from docloom import paths
+from docloom import paths, queries
 from docloom.errors import PatchError
 from docloom.operators import diff, insight, validation
 from docloom.operators.nodes import dump_json, node_table, parse_json
 from docloom.render import tree_html
 from docloom.sources.readers import read_pasted
 
+DATA = "/root/testdata/sf0.001"
+
 
 def nodes_of(spark, *texts):
     return node_table(spark.createDataFrame(list(enumerate(texts)), "id bigint, doc string"))
@@ -122,6 +124,15 @@ def counted(spark, *texts):
     return node_table(docs.mapInArrow(run, docs.schema)), read
 
 
+def test_profile_and_events_in_one_pass(spark):
+    texts = '{"a":[1,{"a":null}],"b":{}}', "[", None
+    nodes, read = counted(spark, *texts)
+    both = insight.profile(nodes, events=True).first().asDict()
+    assert read.value == len(texts)
+    assert both == {**insight.profile(nodes).first().asDict(), "events": 2 * 4 + 2 + 3}
+    assert queries.nested_profile(spark, DATA)._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
 def test_node_columns(spark):
     docs = spark.createDataFrame([(1, '{"a":[1,{"a b":"x\\u00e9"}]}'), (2, "{"), (3, None)], "id bigint, doc string")
     every, some = node_table(docs), node_table(docs, columns=("key", "raw"))
