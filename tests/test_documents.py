@@ -111,6 +111,15 @@ def test_diff_shuffles_documents_only(spark):
     }
 
 
+def test_nested_diff_parses_pairs_once(spark):
+    """One pass over pairs of documents, and the right rows in it."""
+    found = queries.nested_diff(spark, DATA)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    orders = {r["o_orderkey"]: r["o_orderstatus"] for r in spark.read.parquet(f"{DATA}/orders.parquet").collect()}
+    want = [(k, "replace", "/customer/a.b", '"done"') for k, status in orders.items() if status == "F"] + [(k, "replace", "/items/0/n", "2") for k in orders if k % 3 == 2]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
 def counted(spark, *texts):
     """(the nodes of documents, how many documents were parsed for them)."""
     read = spark.sparkContext.accumulator(0)
