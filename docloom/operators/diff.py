@@ -7,6 +7,7 @@ says. Numbers are compared as they are written, objects whatever the order of th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import zip_longest
 from typing import Any
 
@@ -51,6 +52,16 @@ def _text(value: Any) -> str | None:
     return None if value is Missing else dump_json(value)
 
 
+@lru_cache(maxsize=10_000)
+def _step(key: str) -> str:
+    return pointer([key])
+
+
+def _alike(a: Any, b: Any) -> bool:
+    """Whether two values are the same leaf: such need no pointer."""
+    return type(a) is type(b) and type(a) is not dict and type(a) is not list and a == b
+
+
 def differences(left: Any, right: Any) -> Iterator[tuple[str, str, Any, Any]]:
     """(op, pointer, old, new) of the topmost differences, without recursion; what is removed
     comes first, from the highest index down, so that places hold."""
@@ -59,9 +70,11 @@ def differences(left: Any, right: Any) -> Iterator[tuple[str, str, Any, Any]]:
         at, a, b = stack.pop()
         if type(a) is dict and type(b) is dict:
             keys = [*a, *[k for k in b if k not in a]]
-            stack += [(at + pointer([k]), a.get(k, Missing), b.get(k, Missing)) for k in reversed(keys)]
+            below = [(k, a.get(k, Missing), b.get(k, Missing)) for k in reversed(keys)]
+            stack += [(at + _step(k), x, y) for k, x, y in below if not _alike(x, y)]
         elif type(a) is list and type(b) is list:
-            stack += [(f"{at}/{i}", x, y) for i, (x, y) in reversed(list(enumerate(zip_longest(a, b, fillvalue=Missing))))]
+            below = reversed(list(enumerate(zip_longest(a, b, fillvalue=Missing))))
+            stack += [(f"{at}/{i}", x, y) for i, (x, y) in below if not _alike(x, y)]
         elif b is Missing:
             if a is not Missing:
                 removed.append(("remove", at, a, b))

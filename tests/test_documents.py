@@ -120,6 +120,17 @@ def test_nested_diff_parses_pairs_once(spark):
     assert sorted(map(tuple, found.collect())) == sorted(want)
 
 
+def test_equal_leaves_get_no_pointers(monkeypatch):
+    """Only what differs, or may hold a difference, has its place written out; numbers and
+    strings of the same letters differ."""
+    asked = []
+    monkeypatch.setattr(diff, "pointer", lambda keys: asked.append(keys) or paths.pointer(keys))
+    same = {f"same{i}": parse_json(f'"{i}"') for i in range(1000)}
+    left, right = ({**same, "list": [*same.values(), last], "one": one, own: None} for last, one, own in (("x", "1", "l/"), ("y", parse_json("1"), "r~")))
+    assert [d[:2] for d in diff.differences(left, right)] == [("remove", "/l~1"), ("replace", "/list/1000"), ("replace", "/one"), ("add", "/r~0")]
+    assert len(asked) <= 4
+
+
 def counted(spark, *texts):
     """(the nodes of documents, how many documents were parsed for them)."""
     read = spark.sparkContext.accumulator(0)
