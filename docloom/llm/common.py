@@ -58,6 +58,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is `written` within go when it is written."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, name: str, lasting: bool = False, by: str | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage, and a lost
     executor costs nothing that came before. What is `lasting` outlasts a `scratch`. Rows

@@ -3,14 +3,16 @@
 The model is a word trigram model fitted on all trusted documents (labelled quality 1 and not
 toxic) of one half by a hash of their ids; the other half sets the thresholds. Trigrams are
 counted where their middle word lies, so that their contexts, pairs and the pairs' contexts
-are met there; single words come by one join. An interpolated model's log-probability is a
-sum of weights, one for each trigram, pair and word that was seen:
+are met there; only single words are counted across shards, and their counts sent to the
+shards that hold them. An interpolated model's log-probability is a sum of weights:
 `log p(c|ab) = log p(c) + log w(b) + log w(ab) + D(bc) + D(abc)`, where w is what a context
-leaves to the lower order and D(abc) = log(1 + p3(abc) / (w(ab) p(c|b))). So documents are
-scored by an equi-join of their n-grams with the weights, dealt to shards by n-gram, and sums
-per document. Only the weights of the `HOT_WORDS` most common words are broadcast, lest one
-shard be asked for them by all. `fit_model` makes a model of the same kind in memory, of a
-bounded sample; the operator doesn't use it.
+leaves to the lower order, D(bc) = log(1 + p2(bc) / (w(b) p(c))) and D(abc) = log(1 +
+p3(abc) / (w(ab) p(c|b))). All but p(c) lies with the middle word b, and p(c) with the
+trigram of which c is the middle. So a block of documents asks each shard once about its
+trigrams there, and gets sums per document. Documents ask in `ROUNDS`, by a hash of their
+texts, as a round's questions take more disk than anything else and go when it ends.
+`fit_model` makes a model of the same kind in memory, of a bounded sample; the operator
+doesn't use it.
 
 A document's score is its mean negative log-probability per word, with `prior_words` words
 at its language's mean added, so that short texts don't stand out by chance; its
@@ -30,6 +32,7 @@ from __future__ import annotations
 import io
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, free_name, n_words, spread_join, written
+from .common import WORD, free_name, freed_shuffles, n_words, spread_join, written
 
 SAMPLE_DOCS, SAMPLE_WORDS, PRIOR_WORDS, QUANTILE = 6_000, 3_000_000, 20.0, 0.99
 ADDED = ("nll", "n_tokens", "score", "perplexity", "threshold", "keep")
@@ -49,15 +52,11 @@ SEED, UPPER = 42, 33
 #: A text begins and ends with words that no text has.
 BEGIN, END = xxhash.xxh64_intdigest(b" ", SEED) >> UPPER, xxhash.xxh64_intdigest(b"\n", SEED) >> UPPER
 #: Words whose hashes a worker remembers, and characters of text that are scored at once.
-CACHE, CHARS = 200_000, 1_000_000
-#: Bits of an n-gram's hash by which it is known in the shards: of n n-grams, n in 2^44 others
-#: are taken for one of them.
-KEY_BITS = 44
-#: Words whose weights are broadcast; characters of text that ask the shards together; of all
-#: texts for each shard.
-HOT_WORDS, BLOCK_CHARS, SHARD_CHARS = 65_536, 4_000_000, 16_000_000
-#: What tells words, pairs and trigrams of equal keys apart.
-WORDS, PAIRS, TRIGRAMS = 1 << 61, 1 << 62, 0
+HOT_WORDS, CHARS = 200_000, 1_000_000
+#: Characters of text that ask the shards together; of all texts for each shard; rounds of asking.
+BLOCK_CHARS, SHARD_CHARS, ROUNDS = 8_000_000, 16_000_000, 4
+#: What a shard holds: trigrams with their counts; counts of words after its words; and of its words.
+TRIGRAMS, FOLLOWERS, WORDS = 0, 1, 2
 
 
 def _joint(first: Column, second: Column) -> Column:
@@ -98,7 +97,7 @@ class _Hashes(dict):
 def _tokens(texts: list[str | None], known: _Hashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes of all words, with two at the beginning and one at the end of each text; places
     of those that are predicted; numbers of words)."""
-    if len(known) > CACHE:
+    if len(known) > HOT_WORDS:
         known.clear()
     ids, sizes, get = [], [], known.__getitem__
     for text in texts:
@@ -202,160 +201,283 @@ def fit_model(docs: DataFrame, trusted: DataFrame, sample_docs: int = SAMPLE_DOC
 # --- the whole model, in shards
 
 
-def _key(key: Column, order: int) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(key.bitwiseXOR(F.lit(order).cast("long"))), 64 - KEY_BITS)
-
-
-def _key_array(keys: np.ndarray, order: int) -> np.ndarray:
-    """`_key` of an array: XXH64 of eight bytes, seed 42, and its upper bits."""
-    p1, p2, p3, p4, p5 = (np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-    turn = lambda x, n: x << np.uint64(n) | x >> np.uint64(64 - n)
-    h = turn((keys ^ np.uint64(order)) * p2, 31) * p1 ^ np.array([SEED + 8], np.uint64) + p5
-    h = turn(h, 27) * p1 + p4
-    h = (h ^ h >> np.uint64(33)) * p2
-    h = (h ^ h >> np.uint64(29)) * p3
-    return (h ^ h >> np.uint64(32)) >> np.uint64(64 - KEY_BITS)
-
-
-def _off(n: Column, d: list[float]) -> Column:
-    return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
-
-
-def fit_weights(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame, float]:
-    """(key and weight of all n-grams, of which equal keys add up; key and weight of the most
-    common words; the probability of a word that was never seen), fitted on all of `docs`."""
-    rows = _trigrams(docs, text_col).select(*[F.col(c).cast("int").alias(c) for c in "abc"])
-    counts = rows.repartition("b").groupBy("a", "b", "c").agg(F.count("*").cast("int").alias("n"))
-    context, pair, middle = Window.partitionBy("b", "a"), Window.partitionBy("b", "c"), Window.partitionBy("b")
-    some = lambda n, over, name: [F.sum(n).over(over).alias(f"{name}_total"), *[F.sum((test).cast("int")).over(over).alias(f"{name}_{k}") for k, test in enumerate((n == 1, n == 2, n >= 3), 1)]]
-    three = counts.select("*", *some(F.col("n"), context, "ab"), (F.row_number().over(context.orderBy("c")) == 1).alias("new_ab"))
-    three = three.select("*", F.count("*").over(pair).alias("pairs"), (F.row_number().over(pair.orderBy("a")) == 1).alias("new_bc"))
-    three = three.withColumn("m", F.when(F.col("new_bc"), F.col("pairs")))
-    three = three.select("*", *some(F.col("m"), middle, "b"), (F.row_number().over(middle.orderBy("a", "c")) == 1).alias("new_b"))
-    three = written(three, "kn-trigrams")
-    words = written(three.where("new_bc").groupBy("c").agg(F.count("*").alias("n1")), "kn-words")
-    of = lambda n: [F.count(F.when(n == k, 1)) for k in (1, 2, 3, 4)]
-    d3, d2 = (discounts(*x) for x in (lambda r: (r[:4], r[4:]))(three.agg(*of(F.col("n")), *of(F.col("m"))).first()))
-    *found, total, known = words.agg(*of(F.col("n1")), F.sum("n1"), F.count("*")).first()
-    if not known:
-        return three.select(F.lit(0).cast("long").alias("key"), F.lit(0.0).cast("float").alias("weight")).limit(0), words.select(F.col("n1").alias("key"), F.lit(0.0).alias("weight")).limit(0), 1.0
-    d1 = discounts(*found)
-    floor = words.agg(F.sum(_off(F.col("n1"), d1))).first()[0] / total / (known + 1)
-    words = words.select("c", "n1", ((F.col("n1") - _off(F.col("n1"), d1)) / total + floor).alias("p1"))
-    left = lambda name, d: F.expr(" + ".join(f"{x!r}D * {name}_{k}" for k, x in enumerate(d, 1)))
-    a, b, c = (F.col(x).cast("long") for x in "abc")
-    w1 = left("b", d2) / F.col("b_total")
-    p2, w2 = (F.col("pairs") - _off(F.col("pairs"), d2)) / F.col("b_total"), left("ab", d3) / F.col("ab_total")
-    p3 = (F.col("n") - _off(F.col("n"), d3)) / F.col("ab_total")
-    entry = lambda key, order, weight: F.struct(_key(key, order).alias("key"), weight.cast("float").alias("weight"))
-    unfold = lambda df, *entries: df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
-    ab = _joint(a, b)
-    # Only what depends on a single word's probability goes through the join.
-    sent = three.select("c", _joint(ab, c).alias("abc"), (p3 / w2).cast("float").alias("r3"), p2.cast("float").alias("p2"), w1.cast("float").alias("w1"), F.when(F.col("new_bc"), _joint(b, c)).alias("bc"))
-    low, joined = F.col("w1") * F.col("p1"), sent.join(words.select("c", "p1"), "c")
-    lower = unfold(joined, entry(F.col("abc"), TRIGRAMS, F.log1p(F.col("r3") / (F.col("p2") + low))), F.when(F.col("bc").isNotNull(), entry(F.col("bc"), PAIRS, F.log1p(F.col("p2") / low))))
-    contexts = unfold(three.where("new_ab or new_b"), F.when(F.col("new_ab"), entry(ab, PAIRS, F.log(w2))), F.when(F.col("new_b"), entry(b, WORDS, F.log(w1))))
-    single = words.select(_key(c, WORDS).alias("key"), F.log(F.col("p1") / floor).cast("float").alias("weight"))
-    weights = lower.unionByName(contexts).unionByName(single)
-    common = F.broadcast(words.orderBy(F.desc("n1"), "c").limit(HOT_WORDS).select("c", "p1"))
-    left_by = three.where("new_b").select(b.alias("c"), F.log(w1).alias("left"))
-    hot = left_by.join(common, "c", "right").select(_key(c, WORDS).alias("key"), (F.log(F.col("p1") / floor) + F.coalesce("left", F.lit(0.0))).alias("weight"))
-    return weights, hot.groupBy("key").agg(F.sum("weight").alias("weight")), floor
-
-
-def _packed(x: np.ndarray) -> bytes:
-    """Equal places of all numbers together, compressed."""
-    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), "zstd", asbytes=True)
-
-
-def _unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    raw = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), np.uint8)
-    return np.ascontiguousarray(raw.reshape(size, n).T).view(kind).reshape(n)
-
-
-def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(values, nought where there is none; whether there is one)."""
-    if not len(keys):
-        return np.zeros(len(wanted)), np.zeros(len(wanted), bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    there = keys[at] == wanted
-    return np.where(there, values[at], 0.0), there
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Numbers below 2^32: the equal places of each array together, compressed."""
+    planes = [pa.compress(place.tobytes(), "zstd", asbytes=True) for x in arrays for place in x.astype("<u4").view(np.uint8).reshape(-1, 4).T]
+    return np.array([len(p) for p in planes], "<u4").tobytes() + b"".join(planes)
+
+
+def _unpacked(data: bytes, *sizes: int) -> list[np.ndarray]:
+    at = np.cumsum([16 * len(sizes), *np.frombuffer(data, "<u4", 4 * len(sizes)).tolist()])
+    out = [np.zeros((n, 4), np.uint8) for n in sizes]
+    for k in range(4 * len(sizes)):
+        if sizes[k // 4]:
+            out[k // 4][:, k % 4] = np.frombuffer(pa.decompress(data[at[k] : at[k + 1]], sizes[k // 4], "zstd", asbytes=True), np.uint8)
+    return [x.view("<u4").reshape(-1).astype(np.int64) for x in out]
+
+
+def _runs(*sorted_columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    new = np.ones(len(sorted_columns[0]), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in sorted_columns], axis=0)
+    return np.flatnonzero(new)
+
+
+def _lengths(starts: np.ndarray, n: int) -> np.ndarray:
+    return np.diff(np.append(starts, n))
+
+
+def _pack_trigrams(words: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray, counts: np.ndarray) -> tuple[int, int, bytes]:
+    """(number of words, number of trigrams, both) of trigrams sorted by b, a and c, which are
+    places in the sorted `words`; of these, only the used ones are packed."""
+    used = np.zeros(len(words), bool)
+    used[a] = used[b] = used[c] = True
+    place = np.cumsum(used) - 1
+    a, b, c = place[a], place[b], place[c]
+    on = np.diff(b, prepend=0)
+    return int(used.sum()), len(b), _packed(np.diff(words[used].astype(np.int64), prepend=0), np.where(on == 0, np.diff(a, prepend=0), a), on, c, counts)
+
+
+def _unpack_trigrams(n_words: int, n: int, data: bytes) -> tuple[np.ndarray, ...]:
+    """(words, a, b, c, counts)."""
+    words, a, b, c, counts = _unpacked(data, n_words, *[n] * 4)
+    starts = np.flatnonzero(np.append(True, b[1:] != 0))
+    so_far = np.cumsum(a)
+    return np.cumsum(words), so_far - np.repeat((so_far - a)[starts], _lengths(starts, n)), np.cumsum(b), c, counts
+
+
+def _trigrams_of(texts: list[str], known: _Hashes) -> tuple[np.ndarray, ...]:
+    """(the sorted words; a, b, c and counts of different trigrams, sorted by b, a and c; the
+    text of each that occurs, in this order; the texts' numbers of words)."""
+    flat, at, sizes = _tokens(texts, known)
+    words, ids = np.unique(flat, return_inverse=True)
+    a, b, c = ids[at - 2], ids[at - 1], ids[at]
+    order = np.lexsort((c, a, b)) if len(words) > 1 << 21 else np.argsort(b << 42 | a << 21 | c, kind="stable")
+    a, b, c = a[order], b[order], c[order]
+    new = _runs(a, b, c)
+    return words, a[new], b[new], c[new], _lengths(new, len(order)), np.repeat(np.arange(len(texts)), sizes + 1)[order], sizes
+
+
+def _bounds(words: np.ndarray, shards: int) -> np.ndarray:
+    """Where in sorted words those of each shard begin, and the end."""
+    return np.searchsorted(words.astype(np.int64) * shards >> 64 - UPPER, np.arange(shards + 1))
+
+
+def _few(n: np.ndarray) -> list[int]:
+    """Of how many the count is 1, 2, 3 and 4."""
+    return np.bincount(np.minimum(n, 5), minlength=6)[1:5].tolist()
 
 
-ASKED = "shard int, block long, n long, keys binary, docs binary, sums binary"
+def _off(n: np.ndarray, d: list[float]) -> np.ndarray:
+    return np.array([0.0, *d])[np.minimum(n, 3)]
 
 
-def score_texts(docs: DataFrame, weights: DataFrame, hot: DataFrame, floor: float, text_col: str = "text") -> DataFrame:
-    """(hash, nll, n_tokens) of the different texts, by a join of their n-grams with `weights`.
+@dataclass
+class Rates:
+    """What all shards share: discounts of words, pairs and trigrams, number of different pairs,
+    the probability of a word that was never seen and of a text's end; the number of shards."""
+
+    shards: int
+    discounts: list[list[float]] = field(default_factory=list)
+    pairs: int = 1
+    floor: float = 1.0
+    end: float = 1.0
+
+    def p1(self, n: np.ndarray) -> np.ndarray:
+        return (n - _off(n, self.discounts[0])) / self.pairs + self.floor
+
+
+HELD = "shard int, kind int, n_words long, n long, data binary, counts array<long>"
+
+
+def _table(rows: list[tuple], ddl: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (f.split(" ") for f in ddl.split(", "))])
+    columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+    return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def _rows(table: pa.Table, *names: str) -> Iterator[tuple]:
+    return zip(*(table.column(c).to_pylist() for c in names), strict=True)
+
+
+def _shards(docs: DataFrame, text_col: str) -> int:
+    return 16 + docs.agg(F.coalesce(F.sum(F.length(text_col)), F.lit(0))).first()[0] // SHARD_CHARS
+
+
+def fit_weights(docs: DataFrame, text_col: str = "text", shards: int | None = None) -> tuple[DataFrame, Rates]:
+    """(what the shards hold, what they share), fitted on all of `docs`."""
+    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    shards = shards or _shards(texts, "text")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for part in _blocks(batches):
+            words, a, b, c, counts, _, _ = _trigrams_of(part, known)
+            to = np.searchsorted(b, _bounds(words, shards))
+            yield from _table([(shard, TRIGRAMS, *_pack_trigrams(words, a[i:j], b[i:j], c[i:j], counts[i:j]), None) for shard, (i, j) in enumerate(zip(to[:-1], to[1:], strict=True)) if i < j], HELD).to_batches()
+
+    def count(parts: pa.Table) -> pa.Table:
+        shard, rows = parts.column("shard")[0].as_py(), [_unpack_trigrams(*r) for r in _rows(parts, "n_words", "n", "data")]
+        words = np.unique(np.concatenate([r[0] for r in rows]))
+        at = [np.searchsorted(words, r[0]) for r in rows]
+        a, b, c = (np.concatenate([place[r[k]] for place, r in zip(at, rows, strict=True)]) for k in (1, 2, 3))
+        order = np.lexsort((c, a, b))
+        a, b, c, n = a[order], b[order], c[order], np.concatenate([r[4] for r in rows])[order]
+        new = _runs(a, b, c)
+        a, b, c, n = a[new], b[new], c[new], np.add.reduceat(n, new)
+        order = np.lexsort((c, b))
+        pairs = _runs(b[order], c[order])
+        after = np.bincount(c[order][pairs], minlength=len(words))
+        out = [(shard, TRIGRAMS, *_pack_trigrams(words, a, b, c, n), [*_few(n), *_few(_lengths(pairs, len(order)))])]
+        to = _bounds(words, shards)
+        for home, (i, j) in enumerate(zip(to[:-1], to[1:], strict=True)):
+            there = np.flatnonzero(after[i:j]) + i
+            if len(there):
+                out.append((home, FOLLOWERS, shard, len(there), _packed(np.diff(words[there], prepend=0), after[there]), None))
+        return _table(out, HELD)
+
+    def add_up(parts: pa.Table) -> pa.Table:
+        home, rows = parts.column("shard")[0].as_py(), list(_rows(parts, "n_words", "n", "data"))
+        found = [(lambda x: (np.cumsum(x[0]), x[1]))(_unpacked(data, n, n)) for _, n, data in rows]
+        words, at = np.unique(np.concatenate([w for w, _ in found]), return_inverse=True)
+        n1 = np.bincount(at, np.concatenate([n for _, n in found])).astype(np.int64)
+        at = np.split(at, np.cumsum([len(w) for w, _ in found])[:-1])
+        out = [(shard, FOLLOWERS, 0, n, _packed(np.diff(words[place], prepend=0), n1[place]), None) for (shard, n, _), place in zip(rows, at, strict=True)]
+        return _table([*out, (home, WORDS, 0, len(words), _packed(np.diff(words, prepend=0), n1), [*_few(n1), int(n1.sum()), len(n1), int(n1[words == END].sum())])], HELD)
+
+    by_shard = lambda df: df.repartition(shards, "shard").groupBy("shard")
+    counted = written(by_shard(texts.mapInArrow(deal, HELD)).applyInArrow(count, HELD), "kn-trigrams")
+    words = written(by_shard(counted.where(F.col("kind") == FOLLOWERS)).applyInArrow(add_up, HELD), "kn-words")
+    trigrams = counted.where(F.col("kind") == TRIGRAMS)
+    summed = lambda df, n: df.agg(*[F.sum(F.col("counts")[k]) for k in range(n)]).first()
+    *few, total, known, ends = summed(words.where(F.col("kind") == WORDS), 7)
+    rates = Rates(shards)
+    if known:
+        three = summed(trigrams, 8)
+        d1 = discounts(*few)
+        floor = (few[0] * d1[0] + few[1] * d1[1] + (known - few[0] - few[1]) * d1[2]) / total / (known + 1)
+        rates = Rates(shards, [d1, discounts(*three[4:]), discounts(*three[:4])], total, floor)
+        rates.end = float(rates.p1(np.array([ends]))[0])
+    return trigrams.unionByName(words).select("shard", "kind", "n_words", "n", "data"), rates
+
+
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Places of `wanted` in the sorted keys; -1 where there is none."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def _code(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """One number of two places; -1 where one of them is."""
+    return np.where((high < 0) | (low < 0), -1, high << 32 | low)
+
+
+def _at(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Nought where the place is -1."""
+    return np.append(values, 0.0)[places]
+
+
+class _Shard:
+    """The weights of what a shard holds."""
+
+    def __init__(self, rows: list[tuple], rates: Rates) -> None:
+        counts = {kind: [(lambda x: (np.cumsum(x[0]), x[1]))(_unpacked(data, n, n)) for k, _, n, data in rows if k == kind] for kind in (FOLLOWERS, WORDS)}
+        none = np.zeros(0, np.int64)
+        self.own, n1 = counts[WORDS][0] if counts[WORDS] else (none, none)
+        self.known = np.log(rates.p1(n1) / rates.floor) if len(n1) else np.zeros(0)
+        held = [r for r in rows if r[0] == TRIGRAMS]
+        if not held:
+            self.words = self.ab = self.bc = self.abc = none
+            self.left1 = self.left2 = self.d2 = self.d3 = np.zeros(0)
+            return
+        self.words, a, b, c, n = _unpack_trigrams(*held[0][1:])
+        _, d2, d3 = rates.discounts
+        p1 = np.ones(len(self.words))
+        for words, n1 in counts[FOLLOWERS]:
+            p1[np.searchsorted(self.words, words)] = rates.p1(n1)
+        contexts = _runs(b, a)
+        of_ab = np.repeat(np.arange(len(contexts)), _lengths(contexts, len(n)))
+        total = np.add.reduceat(n, contexts)
+        w2 = np.add.reduceat(_off(n, d3), contexts) / total
+        order = np.lexsort((c, b))
+        starts = _runs(b[order], c[order])
+        m = _lengths(starts, len(n))
+        of_bc = np.empty(len(n), np.int64)
+        of_bc[order] = np.repeat(np.arange(len(m)), m)
+        first, second = b[order][starts], c[order][starts]
+        total1 = np.maximum(np.bincount(first, m, len(self.words)), 1)
+        w1 = np.bincount(first, _off(m, d2), len(self.words)) / total1
+        p2, low = (m - _off(m, d2)) / total1[first], w1[first] * p1[second]
+        self.left1, self.left2 = np.log(np.where(w1 > 0, w1, 1.0)), np.log(w2)
+        self.ab, self.bc, self.abc = b[contexts] << 32 | a[contexts], first << 32 | second, of_ab << 32 | c
+        self.d2 = np.log1p(p2 / low)
+        self.d3 = np.log1p((n - _off(n, d3)) / total[of_ab] / w2[of_ab] / (p2 + low)[of_bc])
+
+    def weights(self, words: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Of trigrams whose words are places in `words`; of single words, that of b."""
+        here = _find(self.words, words)
+        ab = _find(self.ab, _code(here[b], here[a]))
+        single = _at(self.known, _find(self.own, words)) + _at(self.left1, here)
+        return single[b] + _at(self.left2, ab) + _at(self.d2, _find(self.bc, _code(here[b], here[c]))) + _at(self.d3, _find(self.abc, _code(ab, here[c])))
+
+
+ASKED = "shard int, block long, n_words long, n long, data binary, docs binary, sums binary"
+
+
+def score_texts(docs: DataFrame, held: DataFrame, rates: Rates, text_col: str = "text") -> DataFrame:
+    """(hash, nll, n_tokens) of the different texts, by a join of their trigrams with the shards.
     Texts ask in blocks; a block's row of n = 0 holds its texts' hashes, sizes and sums so far."""
-    spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    shards = 16 + chars // SHARD_CHARS
-    table = hot.toArrow()  # at most `HOT_WORDS` rows
-    keys, values = table.column("key").to_numpy().astype(np.uint64), table.column("weight").to_numpy()
-    order = np.argsort(keys)
-    shared = spark.sparkContext.broadcast((keys[order], values[order]))
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), *[(c, pa.binary()) for c in ("keys", "docs", "sums")]])
+    shards = rates.shards
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, place = _Hashes(), TaskContext.get().partitionId()
         for block_no, part in enumerate(_blocks(batches)):
-            flat, at, sizes = _tokens(part, known)
-            a, b, c = flat[at - 2], flat[at - 1], flat[at]
-            ab, doc, every = _joint_keys(a, b), np.repeat(np.arange(len(part)), sizes + 1), np.arange(len(part))
-            begin = np.full(len(part), BEGIN, np.uint64)
-            words, of = _key_array(np.concatenate([c, begin]), WORDS), np.concatenate([doc, every])
-            found, there = _find(*shared.value, words)
-            sums = np.log(floor) * (sizes + 1) + np.bincount(of, found, len(part))
-            rest = _key_array(np.concatenate([_joint_keys(b, c), _joint_keys(begin, begin)]), PAIRS)
-            keys = np.concatenate([words[~there], rest, _key_array(_joint_keys(ab, c), TRIGRAMS)])
-            of = np.concatenate([of[~there], of, doc]).astype(np.uint32)
-            order = np.argsort(keys, kind="stable")
-            keys, of = keys[order], of[order]
+            part = list(dict.fromkeys(part))
+            words, a, b, c, counts, of, sizes = _trigrams_of(part, known)
             hashes = np.array([xxhash.xxh64_intdigest(t, SEED) for t in part], np.uint64)
             block = xxhash.xxh64_intdigest(hashes.tobytes() + f"{place},{block_no}".encode(), SEED) >> 1
-            rows = [(int(block % shards), block, 0, hashes.tobytes(), sizes.tobytes(), sums.tobytes())]
-            to = np.searchsorted(keys * np.uint64(shards) >> np.uint64(KEY_BITS), np.arange(shards + 1, dtype=np.uint64))
+            sums = np.log(rates.floor) * (sizes + 1) + np.log(rates.end / rates.floor)
+            rows = [(int(block % shards), block, 0, 0, hashes.tobytes(), sizes.tobytes(), sums.tobytes())]
+            to, ends = np.searchsorted(b, _bounds(words, shards)), np.append(0, np.cumsum(counts))
             for shard, (i, j) in enumerate(zip(to[:-1], to[1:], strict=True)):
                 if i < j:
-                    rows.append((shard, block, int(j - i), _packed(np.diff(keys[i:j], prepend=np.uint64(0))), _packed(of[i:j]), None))
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows.append((shard, block, *_pack_trigrams(words, a[i:j], b[i:j], c[i:j], counts[i:j]), _packed(of[ends[i] : ends[j]]), None))
+            yield from _table(rows, ASKED).to_batches()
 
     def answer(asked: pa.Table, model: pa.Table) -> pa.Table:
-        keys, values = model.column("key").to_numpy().astype(np.uint64), model.column("weight").to_numpy()
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
-        if len(keys):
-            first = np.flatnonzero(np.diff(keys, prepend=keys[0] + np.uint64(1)))
-            keys, values = keys[first], np.add.reduceat(values, first)
-        rows = []
-        for shard, block, n, wanted, docs, sums in zip(*(c.to_pylist() for c in asked.select(schema.names).columns), strict=True):
+        shard, rows = _Shard(list(_rows(model, "kind", "n_words", "n", "data")), rates), []
+        for block, n_words, n, data, of, sums in _rows(asked, "block", "n_words", "n", "data", "docs", "sums"):
             if n:
-                of = _unpacked(docs, n, np.uint32)
-                found, there = _find(keys, values, np.cumsum(_unpacked(wanted, n, np.uint64), dtype=np.uint64))
-                if not there.any():
+                words, a, b, c, counts = _unpack_trigrams(n_words, n, data)
+                (of,) = _unpacked(of, int(counts.sum()))
+                found = np.bincount(of, np.repeat(shard.weights(words, a, b, c), counts))
+                which = np.flatnonzero(found)
+                if not len(which):
                     continue
-                which, at = np.unique(of[there], return_inverse=True)
-                docs, sums, n, wanted = _packed(which), np.bincount(at, found[there]).astype(np.float32).tobytes(), len(which), None
-            rows.append((shard, block, n, wanted, docs, sums))
-        columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
-        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(columns, schema, strict=True)], schema=schema)
+                n, data, of, sums = len(which), None, _packed(np.diff(which, prepend=0)), found[which].astype(np.float32).tobytes()
+            rows.append((0, block, 0, n, data, of, sums))
+        return _table(rows, ASKED)
 
     def total(answers: pa.Table) -> pa.Table:
-        rows = list(zip(*(answers.column(c).to_pylist() for c in ("n", "keys", "docs", "sums")), strict=True))
+        rows = list(_rows(answers, "n", "data", "docs", "sums"))
         _, hashes, sizes, sums = next(r for r in rows if not r[0])
         sums = np.frombuffer(sums).copy()
-        for n, _, docs, part in rows:
+        for n, _, of, part in rows:
             if n:
-                sums[_unpacked(docs, n, np.uint32)] += np.frombuffer(part, np.float32)
+                sums[np.cumsum(_unpacked(of, n)[0])] += np.frombuffer(part, np.float32)
         return pa.table({"hash": np.frombuffer(hashes, np.int64), "nll": -sums, "n_tokens": np.frombuffer(sizes, np.int64)})
 
-    dealt = weights.select(F.shiftright(F.col("key") * F.lit(shards), KEY_BITS).cast("int").alias("shard"), "key", "weight")
-    answers = texts.mapInArrow(ask, ASKED).groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(answer, ASKED)
-    by_block = answers.groupBy("block").applyInArrow(total, "hash long, nll double, n_tokens long")
-    return by_block.groupBy("hash").agg(F.min("nll").alias("nll"), F.min("n_tokens").alias("n_tokens"))
+    by_shard = lambda df: df.repartition(shards, "shard").groupBy("shard")
+    rounds = []
+    for k in range(ROUNDS):
+        asked = texts.where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == k).mapInArrow(ask, ASKED)
+        answers = by_shard(asked).cogroup(by_shard(held)).applyInArrow(answer, ASKED)
+        rounds.append(written(answers.groupBy("block").applyInArrow(total, "hash long, nll double, n_tokens long"), "kn-sums"))
+    return reduce(DataFrame.unionByName, rounds).groupBy("hash").agg(F.min("nll").alias("nll"), F.min("n_tokens").alias("n_tokens"))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str]]:
@@ -403,11 +525,13 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, pri
     trusted = written(trusted_ids(labels, id_col), "kn-trusted")
     half = _half(trusted)
     fitted = docs.join(half, docs[id_col] == half["id"], "left_semi")
-    nll = written(score_texts(docs, *fit_weights(fitted, text_col), text_col), "kn-nll")
+    with freed_shuffles(docs.sparkSession):
+        nll = written(score_texts(docs, *fit_weights(fitted, text_col, _shards(docs, text_col)), text_col), "kn-nll")
     kept = [c for c in (columns or docs.columns) if c.lower() not in ADDED]
     mark = free_name(docs, "text_hash")
     by_text = docs.select(*kept, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias(mark))
-    scored = written(spread_join(by_text, nll.withColumnRenamed("hash", mark), mark).select(*kept, "nll", "n_tokens"), "kn-scored")
+    with freed_shuffles(docs.sparkSession):
+        scored = written(spread_join(by_text, nll.withColumnRenamed("hash", mark), mark).select(*kept, "nll", "n_tokens"), "kn-scored")
     held = trusted.where(F.pmod(F.xxhash64("id"), F.lit(2)) != 0)
     held = scored.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), "nll", "n_tokens").join(held, "id", "left_semi")
     rate = F.try_divide(F.sum("nll"), F.sum(F.col("n_tokens") + 1))

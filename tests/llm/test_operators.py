@@ -3,9 +3,11 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -289,6 +291,30 @@ def test_classifier_is_fitted_on_all_trusted_documents(spark):
     assert all(math.isclose(judged[r[0]]["score"], (nll[i] + 20 * mean) / (n[i] + 21), rel_tol=1e-6) for i, r in enumerate(rows) if r[2])
 
 
+def test_classifier_leaves_few_shuffle_files(spark):
+    """Questions, counts and copies of texts go as soon as what they are for is written."""
+    docs, labels = (spark.read.parquet(f"{DATA.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    folders = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    on_disk = lambda: {f: f.stat().st_size for d in folders for f in Path(d).rglob("shuffle_*.data")}
+    before = on_disk()
+    quality_classifier.classify(docs, labels).write.format("noop").mode("overwrite").save()
+    left = sum(n for f, n in on_disk().items() if f not in before)
+    assert left < 0.02 * os.path.getsize(f"{DATA.replace('0.001', '0.01')}/documents.parquet")
+
+
+def test_trigrams_are_packed_whole():
+    rng = np.random.default_rng(4)
+    words = np.unique(rng.integers(0, 1 << 31, 500).astype(np.uint64))
+    rows = np.unique(rng.integers(0, len(words), (4000, 3)) // [[1, 9, 9]], axis=0)
+    b, a, c = rows[np.lexsort(rows.T[::-1])].T
+    for part in (slice(0, 1), slice(7, 8), slice(30, 2000), slice(0, None)):
+        counts = rng.integers(1, 70_000, len(b[part]))
+        n_words, n, data = quality_classifier._pack_trigrams(words, a[part], b[part], c[part], counts)
+        got, x, y, z, m = quality_classifier._unpack_trigrams(n_words, n, data)
+        want = words.astype(np.int64)
+        assert all((p == q).all() and len(p) == len(q) for p, q in ((got[x], want[a[part]]), (got[y], want[b[part]]), (got[z], want[c[part]]), (m, counts)))
+
+
 def test_classifier_edges(spark, corpus):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(30)] + [(3, 0, 1), (None, 1, 0)], "doc_id bigint, quality int, toxic int")
     df = corpus[0].withColumn("score", F.lit("mine"))
