@@ -91,6 +91,35 @@ def test_crowded_shards_lose_no_link(spark, monkeypatch):
     assert got == want and 1 < len(set(want.values())) < len(texts)
 
 
+def test_crowded_shards_search_what_has_no_candidate_in_its_cell(spark, monkeypatch):
+    """Pairs in a crowd of texts that share seven tenths and are no candidates of each other."""
+    rng = random.Random(12)
+    base, texts = [f"w{i}" for i in range(210)], []
+    for k in range(120):
+        own = [f"x{k}-{i}" for i in range(90)]
+        cut = rng.randint(20, 28)
+        texts += [base + own, base + own[:-cut] + [f"y{k}-{i}" for i in range(cut)]]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    sets = [np.unique(near_copies.shingle_hashes(text, 5)) for _, text in rows]
+    prints = [int.from_bytes(near_copies.hashes_fingerprint(s, near_copies.LANES).tobytes(), "big") for s in sets]
+    shards, far = [set(near_copies.band_keys(s)) for s in sets], near_copies.Reach(0.8).far
+    share = lambda a, b: len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b]))
+    linked = {(a, b) for a in range(240) for b in range(a) if share(a, b) >= 0.8}
+    assert linked == {(a + 1, a) for a in range(0, 240, 2)}
+    found = {a for b, a in linked if shards[a] & shards[b] and (prints[a] ^ prints[b]).bit_count() <= far}
+    assert len(found) > 110
+    monkeypatch.setattr(near_copies, "CELL", 8)
+    got = {r["id"]: r["component"] for r in near_copies.similar_groups(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert {a for a in range(0, 240, 2) if got[a + 1] == a} >= found
+    assert all(got[a] == a for a in range(0, 240, 2))
+
+
+def test_radius_does_not_depend_on_which_set_asks():
+    reach = near_copies.Reach(0.8)
+    assert all(reach.radius(m) == reach.short for n in range(1, 21) for m in range(n, 200) if reach.even(n, m))
+    assert reach.radius(200) == reach.far < reach.short
+
+
 def test_links_across_groups_connect_what_overlaps(spark, monkeypatch):
     """`_across` connects the roots that pairs of a shard within reach and with enough overlap
     connect, whether shards are split or not."""
