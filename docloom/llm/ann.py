@@ -18,6 +18,7 @@ regions of about REGION_ROWS postings, neighbouring lists together; a longer lis
 several regions, all of which its queries visit: no entry is dropped. A query first visits
 the region of its nearest list, and takes from its other regions only what is no farther than
 the last of its k best so far. What is broadcast is the graph: at most MOST_CENTROIDS vectors.
+The driver holds the sample, its centroids and the graph, and distances in blocks of BLOCK.
 
 Defined cases: vectors that are null, zero, of another length than most, or that hold null
 or non-finite components take no part; ties go to the smaller id; with fewer than k
@@ -46,13 +47,19 @@ PER_CENTROID, BOUNDARY, REPLICAS, CLOSURE = 48, 0.3, 3, 1.25
 #: Sampled vectors that the ratio of queries is measured with, and the part of their true
 #: neighbours that must be in the lists they then read.
 QUERIES, FOUND = 256, 0.93
+#: Distances that the driver computes at once.
+BLOCK = 2_000_000
 #: Postings of a region, which one call ranks.
 REGION_ROWS = 16_384
 
 
 def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     """Squared distances, points by centres."""
-    return np.maximum((points**2).sum(1)[:, None] - 2 * points @ centres.T + (centres**2).sum(1)[None], 0)
+    d = points @ centres.T
+    d *= -2
+    d += (points**2).sum(1)[:, None]
+    d += (centres**2).sum(1)[None]
+    return np.maximum(d, 0, out=d)
 
 
 def _balanced_split(points: np.ndarray, parts: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
@@ -93,12 +100,11 @@ class CentroidGraph:
         self.centres = centres
         n = len(centres)
         self.norms = (centres**2).sum(1)
-        near = []
-        for at in range(0, n, 512):
-            d = _nearest(centres[at : at + 512], centres)
-            k = min(degree + 1, n)
-            near.append(np.argpartition(d, k - 1, axis=1)[:, :k])
-        self.links = np.concatenate(near) if n else np.zeros((0, 0), int)
+        k = min(degree + 1, n)
+        self.links = np.zeros((n, k), int)
+        step = max(1, BLOCK // max(1, n))
+        for at in range(0, n, step):  # into place: a view of a block's order would keep all n distances of a row
+            self.links[at : at + step] = np.argpartition(_nearest(centres[at : at + step], centres), k - 1, axis=1)[:, :k]
         self.entries = np.arange(0, n, 4)
         self.single = centres.astype(np.float32)
 
@@ -172,8 +178,10 @@ def _measured_ratio(assigned: DataFrame, graph: CentroidGraph, k: int) -> tuple[
     of sampled entries need; by brute force in the tasks, which send k + 1 rows a query."""
     sample = assigned.select("v").orderBy(F.xxhash64("v"), "v").limit(QUERIES).toArrow()
     asked = np.concatenate([_matrix(c) for c in sample.column("v").chunks if len(c)])
-    to_centres = np.sqrt(_nearest(asked, graph.centres))
-    shared = assigned.sparkSession.sparkContext.broadcast((asked, to_centres / np.maximum(to_centres.min(1, keepdims=True), 1e-12)))
+    ratios = _nearest(asked, graph.centres)  # of at most QUERIES to at most MOST_CENTROIDS
+    np.sqrt(ratios, out=ratios)
+    ratios /= np.maximum(ratios.min(1, keepdims=True), 1e-12)
+    shared = assigned.sparkSession.sparkContext.broadcast((asked, ratios))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, ratios = shared.value
@@ -193,20 +201,26 @@ def _measured_ratio(assigned: DataFrame, graph: CentroidGraph, k: int) -> tuple[
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "need"))).where((F.col("r") > 1) & (F.col("r") <= k + 1))
     need = ranked.select("need").toArrow().column("need").to_numpy()  # k rows of each query; the first is itself
     ratio = float(np.quantile(need, FOUND)) if len(need) else 1.0
-    within = (to_centres <= ratio * to_centres.min(1, keepdims=True) + 1e-9).sum(1)
+    within = (ratios <= ratio + 1e-9).sum(1)
     return ratio, int(min(len(graph.centres), np.ceil(within.max() * 1.1) + 1))
 
 
+def _sampled(entries: DataFrame, n: int) -> np.ndarray:
+    """About SAMPLE_ROWS of the n vectors, one at least."""
+    sample = entries.sample(min(1.0, SAMPLE_ROWS / n), seed=7).select("v").limit(SAMPLE_ROWS * 5 // 4).toArrow()
+    points = [_matrix(c) for c in sample.column("v").chunks if len(c)]
+    return np.concatenate(points or [_matrix(c) for c in entries.select("v").limit(1).toArrow().column("v").chunks])
+
+
 def build_index(entries: DataFrame, k: int, id_type: str) -> Index | None:
     """The index of `entries` (v, ids); None without any."""
     spark, n = entries.sparkSession, entries.count()
     if not n:
         return None
-    sample = entries.sample(min(1.0, SAMPLE_ROWS / n), seed=7).select("v").limit(SAMPLE_ROWS * 5 // 4).toArrow()
-    points = [_matrix(c) for c in sample.column("v").chunks if len(c)]
-    points = np.concatenate(points or [_matrix(c) for c in entries.select("v").limit(1).toArrow().column("v").chunks])
-    graph = CentroidGraph(fit_centroids(points, min(MOST_CENTROIDS, max(1, n // PER_CENTROID))))
-    _, near = graph.search(points[:4096], 2)
+    points = _sampled(entries, n)
+    centres, points = fit_centroids(points, min(MOST_CENTROIDS, max(1, n // PER_CENTROID))), points[:4096].copy()
+    graph = CentroidGraph(centres)
+    near = np.concatenate([graph.search(points[at : at + 512], 2)[1] for at in range(0, len(points), 512)])
     closure = min(CLOSURE, float(np.quantile(near[:, 1] / np.maximum(near[:, 0], 1e-12), BOUNDARY))) if near.shape[1] > 1 else 1.0
     shared = spark.sparkContext.broadcast(graph)  # at most MOST_CENTROIDS vectors
 

@@ -373,6 +373,20 @@ def test_index_reads_little_of_clustered_vectors(spark):
     assert hits / 1000 >= 0.9
 
 
+def test_graph_of_many_centroids_takes_bounded_memory():
+    """The links of 6,000 centroids are the nearest, without the 288 MB of all distances."""
+    import tracemalloc
+
+    centres = np.random.default_rng(8).normal(size=(6_000, 8))
+    tracemalloc.start()
+    graph = ann.CentroidGraph(centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    for at in range(0, 6_000, 500):
+        assert set(graph.links[at]) == set(np.argsort(((centres - centres[at]) ** 2).sum(1))[: ann.DEGREE + 1])
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (100, [1.0, 0.0]), (1, [0.0, 2.0]), (2, None), (3, []), (4, [float("nan"), 1.0]), (5, [0.0, 0.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]), (8, [-1.0, 0.0]), (8, [-1.0, 0.0]), (200, [float("inf"), 1.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
