@@ -59,24 +59,37 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 @contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """The shuffle files of what is `written` within go when it is written."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def _held(spark: SparkSession, name: str, value: str) -> Iterator[None]:
     before = spark.conf.get(name)
-    spark.conf.set(name, "true")
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
-def written(df: DataFrame, name: str, lasting: bool = False, by: str | None = None) -> DataFrame:
+def freed_shuffles(spark: SparkSession):
+    """The shuffle files of what is `written` within go when it is written."""
+    return _held(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
+def small_batches(spark: SparkSession, most: int = 8_000_000):
+    """What runs within gets Arrow batches of about `most` bytes, or of one row of more."""
+    return _held(spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
+def written(df: DataFrame, name: str, lasting: bool = False, by: str | None = None, group: int | None = None) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts the lineage, and a lost
     executor costs nothing that came before. What is `lasting` outlasts a `scratch`. Rows
-    that differ `by` a column lie in folders of their own, so that a filter reads only its."""
+    that differ `by` a column lie in folders of their own, so that a filter reads only its.
+    Rows of megabytes go to row groups of `group` each: tasks hold one group to write or read
+    it, and by default one has a hundred rows at least before its size is looked at."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{'' if lasting else _folder.get()}{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
+    writer = df.write.option("compression", "zstd")
+    if group:
+        writer = writer.option("parquet.block.row.count.limit", str(group))
+    writer.parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -16,7 +16,8 @@ copy of the weights by gradient steps over its blocks, and the changes of all ta
 averaged by how often each bucket was seen. In training a token's own occurrence is left out
 of its count, so the model learns how often unseen and rare tokens turn up in new text.
 
-Texts are gathered in blocks of bounded size. A block sends the distinct words it has, with
+Texts are gathered in blocks of bounded size, each a row group of its own, so that a task holds
+few at a time, however large its split is. A block sends the distinct words it has, with
 their training counts, to shards by hash, and gets their totals over all blocks back: a word
 is one number of a block however frequent it is, and no shard depends on one word. Words are
 known by 64-bit hashes. All documents are counted, trained on and scored.
@@ -37,12 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 
 #: Characters of text in a block; words that a shard takes; tokens of a gradient step.
 BLOCK_CHARS, SHARD_WORDS, MOST_SHARDS, STEP_TOKENS = 8_000_000, 400_000, 4_096, 4_096
 #: Branches of a softmax (a class, or a digit of a hash), digits at most, bits of a digit.
 WAYS, DEPTH, DIGIT = 32, 2, 5
+#: Bytes of totals that one task gathers by block; rows of totals in a row group.
+GATHER_BYTES, GATHER_ROWS = 16_000_000, 4
 #: Buckets of weights: a power of two, one for so many training tokens, between these.
 TOKENS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1_024, 1 << 14, 1 << 17
 #: Rounds of training, characters of text that one task trains on in a round, step size.
@@ -188,6 +191,13 @@ class Model:
                 self.weights[used] -= sums
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, as Python's copies of a whole one are several times its size."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per block: ids, sizes, tokens (32-bit places), words (hashes), training counts."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -216,7 +226,7 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             place[order] = np.arange(len(order), dtype=np.int32)
             return pa.RecordBatch.from_arrays([pa.array([block]), pa.array([keys], pa.list_(id_type)), pa.array([sizes], pa.list_(pa.int64())), pa.array([size]), *[pa.array([x.tobytes()], pa.binary()) for x in (place[tokens], words[order], counts[order])]], names=names)
 
-        for batch in batches:
+        for batch in _slices(batches):
             id_type = batch.schema.field(0).type
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 keys.append(key)
@@ -277,7 +287,7 @@ def _totals(cells: DataFrame) -> DataFrame:
             table = np.concatenate([np.stack([leaves, np.bincount(at, minlength=len(leaves)), np.bincount(at, n, len(leaves)).astype(np.int64)], 1), np.stack([-1 - np.arange(WAYS), np.zeros(WAYS, np.int64), less], 1)])
             yield pa.RecordBatch.from_arrays([pa.array([-1 - shard], pa.int64()), pa.array([shard], pa.int32()), pa.array([table.astype(np.int64).tobytes()], pa.binary())], names=["block", "shard", "totals"])
 
-        for batch in batches:
+        for batch in _slices(batches):
             for s, b, w, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if s != shard and held:
                     yield from flush()
@@ -361,21 +371,24 @@ def train_round(blocks: DataFrame, model: Model, tasks: int) -> Model:
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    blocks, model = fit(docs, id_col, text_col, rounds)
-    return score_blocks(blocks, model, docs.schema[id_col].dataType.simpleString())
+    with small_batches(docs.sparkSession):
+        blocks, model = fit(docs, id_col, text_col, rounds)
+        return written(score_blocks(blocks, model, docs.schema[id_col].dataType.simpleString()), "lm-scores")
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> tuple[DataFrame, Model]:
     """(the blocks of all documents with their words' totals, the model trained on them)."""
     spark = docs.sparkSession
-    texts = written(_blocks(docs, id_col, text_col), "lm-blocks")
+    texts = written(_blocks(docs, id_col, text_col), "lm-blocks", group=1)
     chars, words = texts.agg(F.coalesce(F.sum("chars"), F.lit(0)), F.coalesce(F.sum(F.octet_length("words") / 8), F.lit(0))).first()
     shards = int(min(MOST_SHARDS, max(1, words // SHARD_WORDS + 1)))
-    answers = _totals(_cells(texts, shards)).groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "totals"))), lambda a: a["totals"]).alias("totals"))
-    counted = written(answers, "lm-totals")
+    # By a number of our own, as what is gathered can't spill and Spark would join small partitions.
+    parts = int(max(spark.sparkContext.defaultParallelism, words * 8 // GATHER_BYTES + 1))
+    answers = _totals(_cells(texts, shards)).repartition(parts, "block").groupBy("block").agg(F.transform(F.array_sort(F.collect_list(F.struct("shard", "totals"))), lambda a: a["totals"]).alias("totals"))
+    counted = written(answers, "lm-totals", group=GATHER_ROWS)
     tree = _tree(counted)
     blocks = texts.select("block", "ids", "sizes", "tokens", "words").join(counted.where("block >= 0"), "block")
-    blocks = written(blocks.withColumn("round", F.pmod(F.xxhash64("block"), F.lit(rounds)).cast("int")), "lm-joined", by="round")
+    blocks = written(blocks.withColumn("round", F.pmod(F.xxhash64("block"), F.lit(rounds)).cast("int")), "lm-joined", by="round", group=1)
     n_train = tree.mass[0].sum()
     buckets = 1 << int(np.clip(n_train / TOKENS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS)).bit_length() - 1
     model = Model(tree, np.zeros((buckets, WAYS), np.float32))

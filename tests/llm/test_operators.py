@@ -490,6 +490,30 @@ def test_softmaxes_sum_to_one_over_all_words():
     assert model.log_probabilities(context[:, :50], classes[-50:], codes[-50:]).mean() > before[-51:-1].mean()
 
 
+def test_language_model_tasks_hold_few_blocks(spark, monkeypatch):
+    """Blocks lie in row groups of their own, so that a reader's vectors hold one of them, and
+    go to Python in batches of bounded bytes."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from docloom.llm.common import small_batches
+
+    monkeypatch.setattr(maxent_lm, "BLOCK_CHARS", 20_000)
+    blocks, _ = maxent_lm.fit(spark.read.parquet(f"{DATA}/documents.parquet"))
+    files = [pq.ParquetFile(f.removeprefix("file:")).metadata for f in blocks.inputFiles()]
+    assert sum(m.num_rows for m in files) == sum(m.num_row_groups for m in files) > len(files)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["rows"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with small_batches(spark, 2_000_000):
+        rows = spark.range(0, 12, 1, 1).select(F.repeat(F.lit("x"), 1_000_000).alias("x")).mapInArrow(sizes, "rows bigint").collect()
+    assert sum(r["rows"] for r in rows) == 12 and max(r["rows"] for r in rows) <= 3 and spark.conf.get(name) == before
+
+
 def test_language_model_edges(spark, corpus):
     assert maxent_lm.score_corpus(corpus[0]).count() == len(corpus[1])
     assert maxent_lm.score_corpus(empty(spark)).count() == 0
